@@ -24,7 +24,6 @@ own. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import list_array, ragged, slices, strings, sums, table
+from .base import list_array, ragged, slices, sums, table, utf8
 from .jaccard import mix
 
 SPACE = "▁"
 OFFSET = 16
 P = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 5 << 20
+SLICE = 3 << 20
 
 
 class Vocabulary:
@@ -64,35 +63,31 @@ class Vocabulary:
         self.longest = max(len(self.pieces[i]) for i in plain)
         normal = [self.pieces[i] for i in plain]
         self.split = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal)
-        code = np.array([_code(p) for p in normal], np.uint64)
-        order = np.argsort(code)
-        self.code, self.id = code[order], plain[order]
-        bits = 18
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slot = np.full(1 << bits, -1, np.int64)  # open addressing over the codes
-        for c, i in zip(self.code.tolist(), range(n), strict=False):
-            at = c & int(self.mask)
-            while self.slot[at] >= 0:
-                at = (at + 1) & int(self.mask)
-            self.slot[at] = i
+        # Open addressing over the hashes of all pieces and of all that begin one (id -1).
+        known = {c: -1 for p in normal for c in _codes(p)} | {_codes(p)[-1]: int(i) for p, i in zip(normal, plain, strict=True)}
+        self.mask = (1 << 20) - 1
+        self.code, self.id = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -2, np.int64)
+        for c, i in known.items():
+            at = c & self.mask
+            while self.id[at] != -2:
+                at = (at + 1) & self.mask
+            self.code[at], self.id[at] = c, i
         # Bytes that a piece decodes to.
         raw = [bytes([byte.index(i)]) if i in set(byte) else b"" if i in skip else self.pieces[i].replace(SPACE, " ").encode() for i in range(n)]
         self.raw_at = np.r_[0, np.cumsum([len(r) for r in raw])]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def find(self, code: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes of strings, -1 where there is none."""
-        at = (code & self.mask).astype(np.int64)
-        out = np.full(len(code), -1, np.int64)
-        left = np.arange(len(code))
+        """Piece ids of hashes of strings; -1 for what only begins a piece, -2 for what doesn't."""
+        at = (code & np.uint64(self.mask)).astype(np.int64)
+        out = self.id[at]
+        left = np.flatnonzero((out != -2) & (self.code[at] != code))
+        at = at[left]
         while len(left):
-            s = self.slot[at[left]]
-            used = s >= 0
-            left, s = left[used], s[used]
-            same = self.code[s] == code[left]
-            out[left[same]] = self.id[s[same]]
-            left = left[~same]
-            at[left] = (at[left] + 1) & int(self.mask)
+            at = (at + 1) & self.mask
+            out[left] = self.id[at]
+            go = (out[left] != -2) & (self.code[at] != code[left])
+            left, at = left[go], at[go]
         return out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +102,14 @@ class Vocabulary:
         return data[keep], np.r_[0, np.cumsum(n - front)]
 
 
-def _code(word: str) -> int:
-    h = 0
+def _codes(word: str) -> list[int]:
+    """Hashes of all that the word begins with, itself the last."""
+    h, out = 0, []
     for c in word:
         h = ((h + ord(c) + 1) * int(P)) & (1 << 64) - 1
         h ^= h >> 32
-    return h
+        out.append(h)
+    return out
 
 
 @functools.lru_cache(2)
@@ -145,14 +142,15 @@ class Lattice:
             code = (code + char[at + size - 1] + np.uint64(1)) * P
             code ^= code >> np.uint64(32)
             found = v.find(code)
-            hit = found >= 0
+            alive, hit = found != -2, found >= 0
             if size == 1:
                 # No piece: the bytes of the character, marked by -1 - character.
                 found = np.where(hit, found, -1 - char[at].astype(np.int64))
                 hit = np.ones(len(at), bool)
             node.append(at[hit])
             ids.append(found[hit])
-            step.append(np.full(int(hit.sum()), size, np.int64))
+            step.append(np.full(len(node[-1]), size, np.int64))
+            at, code = at[alive], code[alive]
         # Edges by node, longest first.
         node, ids, step = (np.concatenate([*x[::-1], np.zeros(0, np.int64)]) for x in (node, ids, step))
         order = np.argsort(node, kind="stable")
@@ -178,7 +176,7 @@ class Lattice:
             top = np.maximum.reduceat(val, own)
             val -= np.repeat(top, size)
             beta[at] = top + np.log(np.add.reduceat(np.exp(val), own))
-        self.id, self.step, self.node = ids, step, node
+        self.id, self.step, self.node = ids.astype(np.int32), step.astype(np.int32), node.astype(np.int32)
         self.logc = w + beta[node + step] - beta[node]
         single = degree[node] == 1
         self.logc[single] = 0.0
@@ -200,7 +198,7 @@ def walk(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray, at: np
     """Edges from each node to its word's end, sampled by conditional probability: all edges lane by lane, and how many each lane has."""
     count = np.zeros(len(pos), np.int64)
     seen = []
-    live = np.flatnonzero(pos < end)
+    live = np.flatnonzero(pos < end).astype(np.int32)
     p, a, k, stop = pos[live], at[live], key[live], end[live]
     while len(live):
         u = uniform(k, a)
@@ -209,14 +207,14 @@ def walk(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray, at: np
         while len(more):
             e[more] += 1
             more = more[u[more] > lat.cdf[e[more]]]
-        seen.append((live, e))
+        seen.append((live, e.astype(np.int32)))
         count[live] += 1
         step = lat.step[e]
         p, a = p + step, a + step
         go = p < stop
         live, p, a, k, stop = live[go], p[go], a[go], k[go], stop[go]
     begin = np.cumsum(count) - count
-    out = np.empty(int(count.sum()), np.int64)
+    out = np.empty(int(count.sum()), np.int32)
     for t, (lane, e) in enumerate(seen):
         out[begin[lane] + t] = e
     return out, count
@@ -252,7 +250,7 @@ class Path:
         step = lat.step[edges]
         place = np.cumsum(step) - step
         place -= np.repeat(place[np.minimum(at[:-1], max(len(place) - 1, 0))], n) if len(place) else 0
-        self.place, self.phi = place, phi
+        self.place, self.phi = place.astype(np.int32), phi
         rest = lat.rest[edges]
         gap = -np.log(uniform(key[own] ^ P, place))
         with np.errstate(divide="ignore"):
@@ -260,19 +258,29 @@ class Path:
         self.bound = np.where((rest > 0) & (np.arange(len(edges)) >= (at[:-1] + fresh)[own]), np.logaddexp(arrival[own], later), np.inf)
 
 
-def samples(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int, alpha: float) -> list[tuple]:
-    """For each of at most k samples: texts that have it, ids, offsets, log-probabilities, log arrivals; at last the log arrivals of what follows."""
-    cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if v.split else re.compile("(?s).+")
-    index: dict[str, int] = {}
-    of: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            own = cut.findall(SPACE + t.replace(" ", SPACE))
-            counts[i] = len(own)
-            of += [index.setdefault(w, len(index)) for w in own]
-    word = np.array(of, np.int64)
-    lat = Lattice(v, list(index), alpha)
+def words_of(v: Vocabulary, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts (bytes, offsets) as words of the lattice: indices, the distinct words, and the number of words of each text."""
+    n = np.diff(at)
+    full = n > 0
+    to = np.r_[0, np.cumsum(n + full)]
+    text = np.full(int(to[-1]), 32, np.uint8)  # a space in front of each text that isn't empty
+    text[ragged(to[:-1] + 1, n)] = data
+    space, line = text == 32, text == 10
+    begin = np.zeros(len(text), bool)
+    if v.split:
+        begin[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    begin[to[:-1][full]] = True
+    cut = np.r_[np.flatnonzero(begin), len(text)].astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(text)).dictionary_encode()
+    return coded.indices.to_numpy(), [w.replace(" ", SPACE) for w in coded.dictionary.to_pylist()], sums(begin.astype(np.int64), to)
+
+
+def samples(v: Vocabulary, data: np.ndarray, text_at: np.ndarray, seeds: np.ndarray, k: int, alpha: float) -> list[tuple]:
+    """Of texts (bytes, offsets), for each of at most k samples: texts that have it, ids, offsets, log-probabilities, log arrivals; at last
+    the log arrivals of what follows."""
+    texts = range(len(text_at) - 1)
+    word, distinct, counts = words_of(v, data, text_at)
+    lat = Lattice(v, distinct, alpha)
     doc_at = np.r_[0, np.cumsum(counts)]
     owner = np.repeat(np.arange(len(texts)), counts)
     size = lat.end[word] - lat.first[word]
@@ -333,7 +341,7 @@ def samples(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int, alpha: f
         for (head, o), x, d in zip(heads, keep, np.flatnonzero(have).tolist(), strict=True):
             parts += [head, [o], tail[tail_at[d] : tail_at[d + 1]]]
             lens[d], fresh[d] = x + 1 + tail_n[d], x + 1  # the node that was left keeps its bound on the path before
-        paths.append(Path(lat, np.concatenate(parts).astype(np.int64), np.r_[0, np.cumsum(lens)], np.where(have, bound, np.inf), keys[s], fresh))
+        paths.append(Path(lat, np.concatenate(parts).astype(np.int32), np.r_[0, np.cumsum(lens)], np.where(have, bound, np.inf), keys[s], fresh))
     return [*out, bound]
 
 
@@ -360,7 +368,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.5, seed: in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in slices(batches, "text", SLICE):
-            *found, after = samples(v, strings(b.column("text")), b.column("seed").to_numpy().view(np.uint64), k, alpha)
+            *found, after = samples(v, *utf8(b.column("text")), b.column("seed").to_numpy().view(np.uint64), k, alpha)
             for s, (rows, ids, at, logp, arrival) in enumerate(found, 1):
                 n = np.diff(at)[rows]
                 at = np.r_[0, np.cumsum(n)]  # texts without this sample have no ids
