@@ -10,7 +10,7 @@ documents' starts (documents + 1) and the blocks' byte offsets.  A reader unpack
 
 The tokenizers library encodes distinct stretches of text: a text is cut before a space, tab or newline that follows another character; where all white
 space is of those three kinds, the byte-level splitting pattern never joins characters across such a cut, so the ids are those of the whole
-text. Texts with other white space or with "<|" are encoded in one piece.
+text. Texts with other white space, with control characters or with "<|" are encoded in one piece.
 
 Defined cases: a null text is empty; an empty one has the end id only; null ids come first in the order; rows that repeat an id are rows of
 their own, in order of a hash of their text. An empty table gives no files and no rows. Other columns are ignored.
@@ -18,8 +18,8 @@ their own, in order of a hash of their text. An empty table gives no files and n
 
 from __future__ import annotations
 
+import functools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,13 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import filesystem, publish, ragged, scratch, slices, strings, table
+from .base import filesystem, publish, ragged, scratch, slices, sums, table, utf8
 
 MAGIC = b"BITPACK1"
 BLOCK = 4096
-CHUNK = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-#: White space other than space, tab and newline, control characters, and what may begin a special token.
-WHOLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]|<\\|")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -129,10 +126,30 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def chunks(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The stretches that texts (bytes, offsets) are cut into, how many each text has, and which texts are left whole."""
+    n = np.diff(at)
+    lead = np.r_[data, np.zeros(2, np.uint8)].astype(np.int32)
+    one, two, three = lead[:-2], lead[1:-1], lead[2:]
+    odd = ((one < 32) & (one != 9) & (one != 10)) | (one == 127) | ((one == 60) & (two == 124))
+    wide = ((one == 0xC2) & (two <= 0xA0)) | ((one == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((one == 0xE3) & (two == 0x80) & (three == 0x80)) | ((one == 0xEF) & (two == 0xBB))
+    wide |= (one == 0xE2) & (((two == 0x80) & ((three < 0x90) | (three > 0xA7))) | (two == 0x81))
+    whole = sums((odd | wide).astype(np.int64), at) > 0
+    space = (data == 32) | (data == 9) | (data == 10)
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    begin[np.repeat(whole, n)] = False
+    begin[at[:-1][n > 0]] = True
+    first = np.flatnonzero(begin)
+    stretches = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.r_[first, len(data)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    return stretches, sums(begin.astype(np.int64), at), whole
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct stretch encoded once."""
+    """Ids of whole texts by the tokenizers library, each distinct stretch encoded once while it is remembered."""
 
-    MOST = 300_000
+    MOST = 500_000
+    JOIN = 2000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,38 +157,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = np.zeros(self.vocabulary, np.int64)  # a byte-level token has a character for each byte
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.width[i] = len(token)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str], alone: set[str]) -> None:
+        """Stretches that begin with white space and end without are encoded many in a row and told apart by their tokens' bytes."""
+        joint = [w for w in new if w[0] in " \n\t" and w[-1] not in " \n\t" and w not in alone]
+        lone = [w for w in new if not (w[0] in " \n\t" and w[-1] not in " \n\t" and w not in alone)]
+        flat, sizes = [], []
+        for a in range(0, len(joint), self.JOIN):
+            part = joint[a : a + self.JOIN]
+            ids = self._encode(["".join(part)])[0]
+            ends = np.cumsum(self.width[ids])
+            wanted = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            cut = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and (ends[cut] == wanted).all():
+                sizes.append(np.diff(np.r_[-1, cut]))
+            else:  # a tokenizer that isn't byte-level
+                each = self._encode(part)
+                ids, sizes = np.concatenate(each), [*sizes, np.array([len(x) for x in each])]
+            flat.append(ids)
+        each = self._encode(lone)
+        flat += each
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        size = np.concatenate(sizes).astype(np.int64)
+        self.known.update(zip(joint + lone, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.start = np.r_[self.start, len(self.pool) + np.cumsum(size) - size]
+        self.size, self.pool = np.r_[self.size, size], np.concatenate([self.pool, *flat])
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as bytes and offsets, and how many each text has."""
         if len(self.known) > self.MOST:
             self._clear()
-        chunks: list[str] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = [t] if WHOLE.search(t) else CHUNK.findall(t)
-            counts[i] = len(own)
-            chunks += own
-        new = list({c for c in chunks if c not in self.known})
-        if new:
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-            found = [e.ids for a in range(0, len(new), 50_000) for e in self.tokenizer.encode_batch_fast(new[a : a + 50_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
-            self.start = np.r_[self.start, len(self.pool) + np.cumsum(size) - size]
-            self.size, self.pool = np.r_[self.size, size], np.r_[self.pool, flat]
-        where = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        parts, counts, whole = chunks(data, at)
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        raw = data.tobytes()
+        alone = {raw[at[i] : at[i + 1]].decode() for i in np.flatnonzero(whole)}
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new, alone)
+        where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         size = self.size[where]
         edge = np.r_[0, np.cumsum(counts)]
         total = np.r_[0, np.cumsum(size)]
         return self.pool[ragged(self.start[where], size)], total[edge[1:]] - total[edge[:-1]]
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: tasks that follow each other use what is remembered."""
+    return Encoder(path)
+
+
 def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Writes the files into a shared folder; part, path, docs, ids of each, in order of id."""
     spark = docs.sparkSession
@@ -185,7 +231,7 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         if first is None:
             return
         part = TaskContext.get().partitionId()
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         bits = max(1, (max(encode.vocabulary, end_id + 1) - 1).bit_length())
         store, top = filesystem(folder)
         done = []
@@ -194,7 +240,7 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             w = Writer(out, bits)
             b = first
             while b is not None:
-                ids, n = encode(strings(b.column("text")))
+                ids, n = encode(*utf8(b.column("text")))
                 ends = np.cumsum(n + 1)
                 whole = np.full(int(ends[-1]), end_id, np.uint32)
                 whole[ragged(ends - n - 1, n)] = ids
