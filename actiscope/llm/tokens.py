@@ -148,7 +148,7 @@ def chunks(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct stretch encoded once while it is remembered."""
 
-    MOST = 500_000
+    MOST = 1_200_000
     JOIN = 2000
 
     def __init__(self, path: str):
