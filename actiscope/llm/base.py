@@ -7,6 +7,7 @@ machine) a local one is made and set.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +18,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: What counts as white space between words, and so what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes, whatever the batch size of the session.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -60,8 +62,16 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0))
 
 
+def _give_back() -> None:
+    """Returns to the system what a worker's earlier task has freed: workers are used again."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each holds about `most` bytes; one text is never cut."""
+    _give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

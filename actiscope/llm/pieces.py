@@ -38,7 +38,7 @@ from .jaccard import mix
 SPACE = "▁"
 OFFSET = 16
 P = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 3 << 20
+SLICE = 5 << 19
 
 
 class Vocabulary:
