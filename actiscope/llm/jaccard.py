@@ -3,10 +3,9 @@
 1. Sets.  A text's set is its distinct shingles, as 64-bit hashes; texts with equal sets are one node from here on, named by a hash of the set.
 2. Routing.  Two sets of sizes a, b with Jaccard >= t differ in at most d = (a + b)(1 - t)/(1 + t) shingles.  Cut the hash range into d + 1 + s
    segments: at least 1 + s segments hold the same shingles in both sets.  A node is routed by the hashes of its segments, for the size
-   class of its own and, if near its lower bound, of the class below.  Empty segments count only for a node with more than s of them (a pair that
-   agrees in empty segments alone has that many), so routing loses no pair and unrelated texts hardly meet, even if they share passages.
-   Routes with one node are dropped by an aggregate of minimum and maximum, combined before the shuffle; a bit map of the others, of fixed size,
-   keeps most of the rest from a second shuffle.
+   class of its own and, if near its lower bound, of the class below.  Empty segments count only for a node with more than s of them; any
+   other shares 1 + s routes less its empty ones.  So routing loses no pair, and texts that merely share passages share too few routes.
+   Routes with one node are dropped, nodes with too few of the others too; a bit map of fixed size keeps most of them from a second shuffle.
 3. Search.  Nodes that share a route meet in a group.  There every set queries an inverted index of the smaller sets: T-occurrence search by
    DivideSkip, which merges the short lists on a heap (by counting, where many entries are to merge), probes the long ones by binary
    search, and keeps sets that reach the required overlap.  A candidate that is linked to the query already, through others, isn't probed.  Groups of
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binary_array, list_array, slices, table, written
+from .base import binary_array, list_array, ragged, slices, table, written
 from .gru import tokenized
 
 #: Shingles of a group that one task searches.
@@ -84,24 +83,25 @@ def size_classes(num: int, den: int, top: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def routes(code: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Route hashes of each set, and offsets."""
+def routes(code: np.ndarray, at: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the size class of each set, and for the class below: route hashes, offsets by set, and how many of its routes a linked set shares at least."""
     n = np.diff(at)
     bounds = size_classes(num, den, int(n.max(initial=1)))
     own_class = np.searchsorted(bounds, np.maximum(n, 1), side="right") - 1
     found = []
     for down in (0, 1):
         use = np.flatnonzero(n > 0) if not down else np.flatnonzero((n > 0) & (own_class > 0) & (-(-num * n // den) <= bounds[own_class] - 1))
+        a = bounds[own_class[use] - down + 1] - 1
+        apart = (a + den * a // num) * (den - num) // (den + num)
+        use, apart = use[apart > 0], apart[apart > 0]  # where sets can't differ, only equal ones are linked
         if not len(use):
+            found.append((np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64), np.zeros(len(n), np.int64)))
             continue
-        c = own_class[use] - down
-        a = bounds[c + 1] - 1
-        apart = (a + den * a // num) * (den - num) // (den + num)
-        slack = np.where(apart > 0, 3 + apart // 8, 0)
+        slack = 3 + apart // 8
         m = apart + 1 + slack
         base = np.r_[0, np.cumsum(m)]
         rows = np.repeat(np.arange(len(use)), n[use])
-        h = code[np.concatenate([np.arange(at[i], at[i + 1]) for i in use])] if len(use) < len(n) else code
+        h = code[ragged(at[use], n[use])]
         seg = ((h >> np.uint64(32)) * m[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[rows]
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         total, full = np.zeros(int(base[-1]), np.uint64), np.zeros(int(base[-1]), bool)
@@ -109,13 +109,15 @@ def routes(code: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nda
         full[seg[first]] = True
         of = np.repeat(np.arange(len(use)), m)
         empty = m - np.bincount(of, weights=full, minlength=len(use)).astype(np.int64)
-        keep = full | (empty > slack)[of]
-        tag = (c[of] << 40 | np.arange(len(of)) - base[of]).astype(np.uint64)
-        found.append((use[of][keep], mix(total + mix(tag + np.uint64(1)))[keep]))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    doc, sig = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    return sig[np.argsort(doc, kind="stable")], np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
+        every = empty > slack
+        keep = full | every[of]
+        tag = ((own_class[use] - down)[of] << 40 | np.arange(len(of)) - base[of]).astype(np.uint64)
+        need = np.zeros(len(n), np.int64)
+        need[use] = np.where(every, 1 + slack, 1 + slack - empty)
+        count = np.zeros(len(n), np.int64)
+        count[use] = np.bincount(of, weights=keep, minlength=len(use)).astype(np.int64)
+        found.append((mix(total + mix(tag + np.uint64(1)))[keep], np.r_[0, np.cumsum(count)], need))
+    return found
 
 
 def set_keys(code: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -193,6 +195,44 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return links
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the row of each."""
+    return lists.flatten().to_numpy().copy(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+
+
+def shared_routes(routed: DataFrame) -> DataFrame:
+    """v: the upper 48 bits of the routes that more than one set has.
+
+    Only one long per set and route is shuffled: those 48 bits and 16 bits of a hash of set and route.  Two sets on a route are taken for one
+    if the latter agree; linked sets share four routes or more, so all of them would have to.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64(0xFFFF)
+        for b in batches:
+            for s in (0, 1):
+                v, own = _flat(b.column(f"routes{s}"))
+                k = b.column("k").to_numpy().view(np.uint64)[own]
+                v = v.view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique((v & ~low) | (mix(k ^ v) & low)).view(np.int64))], ["p"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = np.zeros(0, np.int64), None
+        for b in batches:
+            p = np.concatenate([last, b.column("p").to_numpy()])
+            p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
+            v = p >> 16
+            hot = np.unique(v[1:][v[1:] == v[:-1]])
+            hot = hot[hot != told] if told is not None else hot
+            if len(hot):
+                told = hot[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(hot)], ["v"])
+            last = p[-1:]
+
+    packed = routed.mapInArrow(pack, "p long")
+    return packed.repartition(F.shiftright("p", 16)).sortWithinPartitions("p").mapInArrow(several, "v long")
+
+
 def _bit_map(values: DataFrame, bits: int) -> np.ndarray:
     """A map of 2^bits bits over the low and high bits of a long column v; 2^(bits - 6) rows at most reach the driver."""
     word = F.col("v").bitwiseAND((1 << (bits - 6)) - 1)
@@ -239,27 +279,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in slices(batches, "text", 4 << 20):
             code, at = shingle_sets(b.column("text"), words)
             n = np.diff(at)
-            sig, sig_at = routes(code, at, num, den)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(set_keys(code, at).view(np.int64), mask=n == 0), list_array(sig.view(np.int64), sig_at, pa.int64())], ["id", "n", "k", "routes"])
+            cols = [b.column("id"), pa.array(n), pa.array(set_keys(code, at).view(np.int64), mask=n == 0)]
+            for sig, sig_at, need in routes(code, at, num, den):
+                cols += [list_array(sig.view(np.int64), sig_at, pa.int64()), pa.array(need.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "k", "routes0", "need0", "routes1", "need1"])
 
-    made = written(d.mapInArrow(keys, f"id {kind}, n long, k long, routes array<long>"), "sets")
-    rows = made.where("k IS NOT NULL").select(F.explode("routes").alias("v"), "k")
-    shared = rows.groupBy("v").agg(F.min("k").alias("root"), F.max("k").alias("other")).where("root <> other").select("v", "root")
-    shared = written(shared, "routes")
+    made = written(d.mapInArrow(keys, f"id {kind}, n long, k long, routes0 array<long>, need0 int, routes1 array<long>, need1 int"), "sets")
+    nodes = made.select("id", "n", "k")
+    routed = made.where("k IS NOT NULL").select("k", "routes0", "need0", "routes1", "need1")
+    shared = written(shared_routes(routed), "routes")
     route_map = _bit_map(shared, MAP_BITS)
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = b.column("routes")
-            v = r.flatten().to_numpy()
-            own = np.repeat(np.arange(b.num_rows), r.value_lengths().fill_null(0).to_numpy())
-            hit = _in_map(route_map, v)
-            yield pa.RecordBatch.from_arrays([pa.array(v[hit]), b.column("k").take(pa.array(own[hit]))], ["v", "k"])
-
-    nodes = made.select("id", "n", "k")
-    # One row per set and shared route, whatever the number of its copies.
-    met = made.where("k IS NOT NULL").select("k", "routes").mapInArrow(meeting, "v long, k long").distinct()
-    groups = written(met.join(shared, "v").select("root", "k").distinct(), "groups")
+            k = b.column("k").to_numpy()
+            for s in (0, 1):
+                v, own = _flat(b.column(f"routes{s}"))
+                need = b.column(f"need{s}").to_numpy()
+                v >>= 16
+                hit = _in_map(route_map, v)
+                hit &= (np.bincount(own, weights=hit, minlength=b.num_rows) >= need)[own]
+                v, own = v[hit], own[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(k[own]), pa.array(np.full(len(v), s, np.int32)), pa.array(need[own])], ["v", "k", "s", "need"])
+
+    # One row per set and shared route, whatever the number of its copies; a set stays that shares as many routes as a linked one must.
+    met = written(routed.mapInArrow(meeting, "v long, k long, s int, need int").distinct().join(shared, "v"), "met")
+    enough = met.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).where("c >= least").select("k", "s")
+    met = met.join(enough, ["k", "s"]).select("v", "k")
+    roots = met.groupBy("v").agg(F.min("k").alias("root"), F.max("k").alias("other")).where("root <> other").select("v", "root")
+    groups = written(met.join(roots, "v").select("root", "k").distinct(), "groups")
     reps = nodes.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     chosen = written(groups.select("k").distinct().join(reps, "k"), "chosen")
     id_map = _bit_map(chosen.select(F.xxhash64("rep").alias("v")), MAP_BITS)
