@@ -80,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    _give_back()
 
 
 def strings(col: pa.Array) -> list[str]:

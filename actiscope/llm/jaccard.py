@@ -234,9 +234,9 @@ def shared_routes(routed: DataFrame) -> DataFrame:
 
 
 def _bit_map(values: DataFrame, bits: int) -> np.ndarray:
-    """A map of 2^bits bits over the low and high bits of a long column v; 2^(bits - 6) rows at most reach the driver."""
+    """A map of 2^bits bits over the low bits of a long column v; 2^(bits - 6) rows at most reach the driver."""
     word = F.col("v").bitwiseAND((1 << (bits - 6)) - 1)
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(v, 58) AS INT))")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(v, {bits - 6}) & 63 AS INT))")
     got = values.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
@@ -245,7 +245,8 @@ def _bit_map(values: DataFrame, bits: int) -> np.ndarray:
 
 def _in_map(found: np.ndarray, v: np.ndarray) -> np.ndarray:
     v = v.astype(np.int64)
-    return (found[v & (len(found) - 1)] >> (v.view(np.uint64) >> np.uint64(58)) & np.uint64(1)).astype(bool)
+    bit = v >> (len(found).bit_length() - 1) & 63
+    return (found[v & (len(found) - 1)] >> bit.astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def components(links: DataFrame) -> DataFrame:

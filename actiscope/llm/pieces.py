@@ -38,7 +38,7 @@ from .jaccard import mix
 SPACE = "▁"
 OFFSET = 16
 P = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 5 << 19
+SLICE = 2 << 20
 
 
 class Vocabulary:
@@ -147,12 +147,12 @@ class Lattice:
                 # No piece: the bytes of the character, marked by -1 - character.
                 found = np.where(hit, found, -1 - char[at].astype(np.int64))
                 hit = np.ones(len(at), bool)
-            node.append(at[hit])
-            ids.append(found[hit])
-            step.append(np.full(len(node[-1]), size, np.int64))
+            node.append(at[hit].astype(np.int32))
+            ids.append(found[hit].astype(np.int32))
+            step.append(np.full(len(node[-1]), size, np.int32))
             at, code = at[alive], code[alive]
         # Edges by node, longest first.
-        node, ids, step = (np.concatenate([*x[::-1], np.zeros(0, np.int64)]) for x in (node, ids, step))
+        node, ids, step = (np.concatenate([*x[::-1], np.zeros(0, np.int32)]) for x in (node, ids, step))
         order = np.argsort(node, kind="stable")
         node, ids, step = node[order], ids[order], step[order]
         lone = np.flatnonzero(ids < 0)
@@ -176,17 +176,15 @@ class Lattice:
             top = np.maximum.reduceat(val, own)
             val -= np.repeat(top, size)
             beta[at] = top + np.log(np.add.reduceat(np.exp(val), own))
-        self.id, self.step, self.node = ids.astype(np.int32), step.astype(np.int32), node.astype(np.int32)
+        self.id, self.step, self.node = ids, step, node
+        del order
         self.logc = w + beta[node + step] - beta[node]
-        single = degree[node] == 1
-        self.logc[single] = 0.0
-        p = np.exp(self.logc)
+        self.logc[degree[node] == 1] = 0.0  # no other edge: nothing is left behind
         some = degree > 0
-        run = np.cumsum(p)
-        self.cdf = run - np.repeat((run - p)[self.start[:-1][some]], degree[some])
+        self.cdf = np.cumsum(np.exp(self.logc))
+        before = np.r_[0.0, self.cdf][self.start[:-1][some]]
+        self.cdf -= np.repeat(before, degree[some])
         self.cdf[self.start[1:][some] - 1] = 2.0  # the last edge takes what rounding leaves
-        # Mass of the other edges of an edge's node, 0 exactly if there is none.
-        self.rest = np.where(single, 0.0, np.maximum(1.0 - p, 1e-300))
 
 
 def uniform(key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -251,7 +249,7 @@ class Path:
         place = np.cumsum(step) - step
         place -= np.repeat(place[np.minimum(at[:-1], max(len(place) - 1, 0))], n) if len(place) else 0
         self.place, self.phi = place.astype(np.int32), phi
-        rest = lat.rest[edges]
+        rest = 1.0 - np.exp(logc)
         gap = -np.log(uniform(key[own] ^ P, place))
         with np.errstate(divide="ignore"):
             later = np.log(gap) - np.log(rest) - phi
