@@ -371,6 +371,10 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     of = np.repeat(np.arange(len(heads)), [len(h[2]) for h in heads])
     ends = np.cumsum(np.bincount(of, weights=lengths, minlength=len(heads)).astype(np.int64))
     out = []
+    told = [np.concatenate([h[2][c].astype(np.int64) for h in heads] or [np.zeros(0, np.int64)]) for c in ("s", "n")]
+    begins = np.cumsum(lengths) - lengths - np.r_[0, ends][of]
+    if (told[0] != begins).any() or (told[1] != lengths).any():
+        raise ValueError("a seek point is wrong")
     for i, (n, md5, _, _) in enumerate(heads):
         x = flat[ends[i - 1] if i else 0 : ends[i]]
         if len(x) != n or hashlib.md5(x.tobytes()).digest() != md5:

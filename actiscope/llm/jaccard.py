@@ -58,7 +58,7 @@ def shingle_sets(col: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(h)) - at[own]
     size = np.minimum(lens, words)[own]
     code = np.zeros(len(h), np.uint64)
-    for j in range(words):
+    for j in range(min(words, len(h))):
         # A short text's only shingle takes the words that there are.
         shifted = np.zeros(len(h), np.uint64)
         shifted[: len(h) - j] = h[j:]
