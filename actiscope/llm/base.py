@@ -23,6 +23,8 @@ _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes, whatever the batch size of the session.
 SLICE_BYTES = 3 << 20
+#: Bytes of an Arrow batch between Spark and a worker.
+BATCH_BYTES = 6 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,6 +36,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Holds Arrow batches to about BATCH_BYTES, unless the session has its own bound: long texts would make them large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, read back: lineage ends there."""
     spark = df.sparkSession
@@ -129,6 +138,7 @@ def kept(docs: DataFrame, text_col: str, test, extra: dict[str, Column] | None =
 
     extra: columns computed for the test, under names that clash with none.
     """
+    bounded(docs.sparkSession)
     names = docs.columns
     added = []
     for column in (extra or {}).values():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binary_array, ragged, scratch, slices, sums, table, utf8
+from .base import binary_array, bounded, ragged, scratch, slices, sums, table, utf8
 
 BLOCK = 1024
 RATE = 8000
@@ -408,6 +408,7 @@ def padded(data: np.ndarray, at: np.ndarray, unit: int = 64) -> tuple[np.ndarray
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media, the FLAC stream of the text's padded UTF-8 bytes."""
+    bounded(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binary_array, list_array, ragged, slices, table, written
+from .base import binary_array, bounded, list_array, ragged, slices, table, written
 from .gru import tokenized
 
 #: Shingles of a group that one task searches.
@@ -273,6 +273,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. One row per row of docs."""
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -305,9 +306,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # One row per set and shared route, whatever the number of its copies; a set stays that shares as many routes as a linked one must.
     met = written(routed.mapInArrow(meeting, "v long, k long, s int, need int").distinct().join(shared, "v"), "met")
-    enough = met.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).where("c >= least").select("k", "s")
-    met = met.join(enough, ["k", "s"]).select("v", "k")
-    roots = met.groupBy("v").agg(F.min("k").alias("root"), F.max("k").alias("other")).where("root <> other").select("v", "root")
+    enough = met.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).where("c >= least").select("k", "s", "c")
+    # A route's nodes meet under the one of them with the most routes, so that a group has few names and its sets are sent few times.
+    met = met.join(enough, ["k", "s"]).select("v", "k", "c")
+    roots = met.groupBy("v").agg(F.max(F.struct("c", "k")).alias("most"), F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("v", F.col("most.k").alias("root"))
     groups = written(met.join(roots, "v").select("root", "k").distinct(), "groups")
     reps = nodes.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     chosen = written(groups.select("k").distinct().join(reps, "k"), "chosen")

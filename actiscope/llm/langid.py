@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, fold, kept, slices, sums, table, utf8
+from .base import SLICE_BYTES, bounded, fold, kept, slices, sums, table, utf8
 
 BUCKETS = 1 << 15
 PAD = 4
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, rejected; one row per row of docs."""
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

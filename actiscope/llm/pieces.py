@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import list_array, ragged, slices, sums, table, utf8
+from .base import bounded, list_array, ragged, slices, sums, table, utf8
 from .jaccard import mix
 
 SPACE = "▁"
@@ -362,6 +362,7 @@ SAMPLES = "sample int, ids array<int>, log_prob double, perturbed double, log_in
 
 def encode(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per text and sample: key, sample (from 1, by arrival), ids, log_prob, perturbed, log_inclusion, text_crc32 (of the text its ids decode to)."""
+    bounded(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)

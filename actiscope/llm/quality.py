@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold, kept, list_array, slices, sums, table, utf8, written
+from .base import bounded, fold, kept, list_array, slices, sums, table, utf8, written
 
 STATISTICS = ("log_bytes", "word_bytes", "upper", "digit", "comma_stop", "symbol", "bang", "bar", "non_ascii", "line_words", "repeat_byte", "runs_of_symbols", "entropy", "repeated_lines", "short_words")
 D = len(STATISTICS)
@@ -110,6 +110,7 @@ def _short(space: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and x, the array of statistics of the whole text."""
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
