@@ -1,15 +1,15 @@
 """Classification, ranking, threshold and calibration metrics.
 
-Ranking metrics aggregate by distinct score first, so a window only ever sees one row per score value; scores that are continuous
-and unrounded still order all rows in one window, which is what an exact area or sweep needs.
+Ranking metrics aggregate by distinct score first; the distinct scores are then summed up in ranges of their order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, square
+from .ranking import ranked, running
 
 
 def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
@@ -36,9 +36,9 @@ def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def sweep(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """One row per distinct score as threshold (score >= threshold is positive), with counts and rates."""
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = by_score(df, y, score).select(F.col("score").alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("q"))
+    g = by_score(df, y, score)
+    every = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    s = running(g.withColumn("neg_score", -F.col("score")), ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")}).withColumnRenamed("score", "threshold").join(F.broadcast(every))  # one row
     s = s.select("threshold", "tp", "fp", (F.col("q") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"))
     return s.select("*", *[c.alias(k) for k, c in rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")).items()])
 
@@ -54,15 +54,14 @@ def optimal(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 def areas(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """roc_auc with ties as half, and average precision with ties grouped; null if a class is missing."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = by_score(df, y, score).withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    s = running(by_score(df, y, score).withColumn("neg_score", -F.col("score")), ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")})
     a = s.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return a.select(ratio(F.col("won"), F.col("p") * F.col("q")).alias("roc_auc"), ratio(F.col("ap"), F.col("p")).alias("pr_auc"))
 
 
 def enrichment(df: DataFrame, y: str = "y", score: str = "score", idx: str = "id", fraction: float = 0.01, alpha: float = 20.0) -> DataFrame:
     """Enrichment factor in the top share, robust initial enhancement and its bounded form; ties by idx."""
-    d = df.withColumn("r", F.row_number().over(Window.orderBy(F.desc(score), idx)))
+    d = ranked(df.select(F.col(y), (-F.col(score)).alias("neg_score"), F.col(idx).alias("i")), ["neg_score", "i"], "r")
     n = d.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("a"))
     d = d.where(F.col(y) == 1).join(F.broadcast(n))  # one row
     top = F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("long"))

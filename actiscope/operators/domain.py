@@ -5,10 +5,11 @@ A domain is fitted by an aggregate of bounded size (a row per dimension) and sco
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import square
+from .ranking import ranked, running
 
 
 def _long(df: DataFrame, idx: str, vec: str) -> DataFrame:
@@ -47,10 +48,9 @@ def domain_report(df: DataFrame, inside: str, y: str, p: str) -> DataFrame:
 def conformal_quantile(calibration: DataFrame, score: str, alpha: float = 0.1) -> DataFrame:
     """q: the calibration score of rank clip(ceil((n + 1)(1 - alpha)), 1, n), by counts of distinct scores."""
     s = calibration.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     n = s.agg(F.sum("c").alias("n"))
     rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha))))
-    return s.withColumn("u", F.sum("c").over(upto)).join(F.broadcast(n)).where(F.col("u") >= rank).agg(F.min("s").alias("q"))
+    return running(s, ["s"], {"u": F.col("c")}).join(F.broadcast(n)).where(F.col("u") >= rank).agg(F.min("s").alias("q"))
 
 
 def conformal_interval(calibration: DataFrame, df: DataFrame, y: str, p: str, alpha: float = 0.1) -> DataFrame:
@@ -62,6 +62,9 @@ def conformal_interval(calibration: DataFrame, df: DataFrame, y: str, p: str, al
 
 def ence(df: DataFrame, idx: str, y: str, p: str, sigma: str, bins: int = 10) -> DataFrame:
     """Expected normalised calibration error over bins of equal size in order of sigma."""
-    b = df.withColumn("b", F.ntile(bins).over(Window.orderBy(sigma, idx)))
+    n = df.agg(F.count(F.lit(1)).alias("e_n"))
+    r = ranked(df, [sigma, idx], "e_r").join(F.broadcast(n))  # one row
+    low, more = F.floor(F.col("e_n") / bins), F.col("e_n") % bins
+    b = r.withColumn("b", F.when(F.col("e_r") <= more * (low + 1), F.floor((F.col("e_r") - 1) / (low + 1))).otherwise(more + F.floor((F.col("e_r") - 1 - more * (low + 1)) / F.greatest(low, F.lit(1)))))
     g = b.groupBy("b").agg(F.avg(sigma).alias("s"), F.sqrt(F.avg(square(F.col(y) - F.col(p)))).alias("r"))
     return g.agg(F.avg(F.abs(F.col("s") - F.col("r")) / F.col("s")).alias("ence"))
