@@ -5,6 +5,7 @@ A domain is fitted by an aggregate of bounded size (a row per dimension) and sco
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +69,43 @@ def ence(df: DataFrame, idx: str, y: str, p: str, sigma: str, bins: int = 10) ->
     b = r.withColumn("b", F.when(F.col("e_r") <= more * (low + 1), F.floor((F.col("e_r") - 1) / (low + 1))).otherwise(more + F.floor((F.col("e_r") - 1 - more * (low + 1)) / F.greatest(low, F.lit(1)))))
     g = b.groupBy("b").agg(F.avg(sigma).alias("s"), F.sqrt(F.avg(square(F.col(y) - F.col(p)))).alias("r"))
     return g.agg(F.avg(F.abs(F.col("s") - F.col("r")) / F.col("s")).alias("ence"))
+
+
+def accuracy_by_coverage(df: DataFrame, score: str, idx: str, y: str, p: str, points: int = 20) -> DataFrame:
+    """coverage, n_samples, rmse, mae of the rows of the smallest scores, at so many evenly spaced counts from 1 to all."""
+    e = F.col(p) - F.col(y)
+    r = running(df.select(F.col(score).alias("a_s"), F.col(idx).alias("a_i"), e.alias("a_e")), ["a_s", "a_i"], {"k": F.lit(1).cast("long"), "sq": F.col("a_e") * F.col("a_e"), "ab": F.abs("a_e")})
+    n = df.agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.least(F.lit(points), F.col("n")))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("m"), F.lit(1)).cast("int")), lambda i: (1 + F.floor((i - 1) * (F.col("n") - 1) / F.greatest(F.col("m") - 1, F.lit(1)))).cast("long"))
+    grid = n.where("n > 0").select("n", F.explode(F.array_distinct(at)).alias("k"))
+    return r.join(F.broadcast(grid), "k").select((F.col("k") / F.col("n")).alias("coverage"), F.col("k").alias("n_samples"), F.sqrt(F.col("sq") / F.col("k")).alias("rmse"), (F.col("ab") / F.col("k")).alias("mae"))
+
+
+def leverage_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, factor: float = 3.0) -> DataFrame:
+    """idx, leverage, inside: x' (X'X)+ x against factor * (p + 1) / n, without centring.
+
+    The driver holds one p x p matrix of p features, never rows; rows with null components have no leverage and are left out.
+    """
+    x = F.col(vec).cast("array<double>")
+    whole = ~F.exists(x, lambda v: v.isNull())
+    rows = train.where(whole).select(x.alias("x"))
+    pairs = rows.select(F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode("x").alias("j", "b"), "a").where("i <= j")
+    gram = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
+    n, p = rows.count(), max((r.j for r in gram), default=-1) + 1
+    g = np.zeros((p, p))
+    for r in gram:
+        g[r.i, r.j] = g[r.j, r.i] = r.s
+    inverse = np.linalg.pinv(g) if p else g
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse]) if p else F.array().cast("array<array<double>>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    h = dot(F.transform(table, lambda row: dot(row, x)), x)
+    limit = factor * (p + 1) / n if n else 0.0
+    return df.where(whole).select(idx, h.alias("leverage")).withColumn("inside", F.col("leverage") <= limit)
+
+
+def williams(leverage: DataFrame, residuals: DataFrame, idx: str, y: str, p: str, limit: float = 3.0) -> DataFrame:
+    """idx, leverage, residual (standardised by the sample deviation), influential, outlying."""
+    e = F.col(p) - F.col(y)
+    s = residuals.agg(F.stddev_samp(e).alias("w_s"))
+    r = residuals.join(F.broadcast(s)).select(idx, F.try_divide(e, F.col("w_s")).alias("residual"))  # one row
+    return leverage.join(r, idx).select(idx, "leverage", "residual", (~F.col("inside")).alias("influential"), (F.abs("residual") > limit).alias("outlying"))

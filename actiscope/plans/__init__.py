@@ -1 +1,3 @@
+"""Queries by name."""
 
+from . import extended as extended
