@@ -60,8 +60,8 @@ def areas(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 
 def enrichment(df: DataFrame, y: str = "y", score: str = "score", idx: str = "id", fraction: float = 0.01, alpha: float = 20.0) -> DataFrame:
-    """Enrichment factor in the top share, robust initial enhancement and its bounded form; ties by idx."""
-    d = ranked(df.select(F.col(y), (-F.col(score)).alias("neg_score"), F.col(idx).alias("i")), ["neg_score", "i"], "r")
+    """Enrichment factor in the top share, robust initial enhancement and its bounded form; ties by idx, rows without a score last."""
+    d = ranked(df.select(F.col(y), F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))).alias("neg_score"), F.col(idx).alias("i")), ["neg_score", "i"], "r")
     n = d.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("a"))
     d = d.where(F.col(y) == 1).join(F.broadcast(n))  # one row
     top = F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("long"))

@@ -55,3 +55,9 @@ def test_balanced_and_sampled(spark):
 def test_ranking_metrics_of_empty(spark):
     d = spark.createDataFrame([], "id int, y int, score double")
     assert classification.sweep(d).count() == 0 and classification.areas(d).first().roc_auc is None
+
+
+def test_rows_without_a_score_rank_last(spark):
+    d = spark.createDataFrame([(1, 1, None), (2, 0, 0.2), (3, 0, 0.1), (4, 1, 0.9)], "id int, y int, score double")
+    assert classification.enrichment(d, fraction=0.5).first().ef == 1.0
+    assert classification.enrichment(d, fraction=0.25).first().ef == 2.0
