@@ -47,6 +47,12 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a_id").alias("query_id"), "rank", F.col("b_id").alias("ref_id"), "similarity")
 
 
+def similar_any(fp: DataFrame) -> DataFrame:
+    """a_id < b_id, similarity of all pairs that share a bit."""
+    c = F.col("c")
+    return _common(fp, fp).where("a_id < b_id").select("a_id", "b_id", (c / (F.col("a_n") + F.col("b_n") - c)).alias("similarity"))
+
+
 def cliffs(pairs: DataFrame, values: DataFrame, least_delta: float) -> DataFrame:
     """Similar pairs whose activities differ: a_id, b_id, similarity, delta, sali (null for identical fingerprints). values: id, value."""
     v = lambda p: values.select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"))

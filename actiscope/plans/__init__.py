@@ -1,3 +1,4 @@
 """Queries by name."""
 
 from . import extended as extended
+from . import landscapes as landscapes
