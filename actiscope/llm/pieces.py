@@ -38,7 +38,7 @@ from .jaccard import mix
 SPACE = "▁"
 OFFSET = 16
 P = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
 class Vocabulary:
