@@ -8,9 +8,12 @@
    Routes with one node are dropped, nodes with too few of the others too; a bit map of fixed size keeps most of them from a second shuffle.
 3. Search.  Nodes that share a route meet in a group.  There every set queries an inverted index of the smaller sets: T-occurrence search by
    DivideSkip, which merges the short lists on a heap (by counting, where many entries are to merge), probes the long ones by binary
-   search, and keeps sets that reach the required overlap.  A candidate that is linked to the query already, through others, isn't probed.  Groups of
-   more than GROUP shingles are cut into blocks, and every pair of blocks is a group.
-4. Components of the links by alternating large-star and small-star steps on tables.
+   search, or in a bit map of the longest, and keeps sets that reach the required overlap.  Groups of more than GROUP shingles are cut into blocks, and
+   every pair of blocks is a group.
+4. Links.  Every candidate is verified, and a link counts in the first group that its two sets share, so that a task gives a row a set, not a
+   row a link: near copies by the thousand have links by the million.  Where only components are asked for, a candidate that is linked to the query
+   already, through others, isn't verified.
+5. Components of the links that span each group's by alternating large-star and small-star steps on tables.
 
 Defined cases: words are maximal runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle has is one shingle; a text
 without words, or null, has an empty set and is linked with nothing. Null ids take part; they are never a component's name unless all its ids are
@@ -129,22 +132,25 @@ def set_keys(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total + np.diff(at).astype(np.uint64))
 
 
-def _merge(lists: list[np.ndarray], least: int, size: int) -> np.ndarray:
-    """Entries that occur in `least` lists or more, of lists of numbers under size; each is ascending."""
+def _merge(lists: list[np.ndarray], least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that occur in `least` lists or more, of lists of numbers under size, and in how many; each list is ascending."""
     if sum(map(len, lists)) > 64:
         count = np.bincount(np.concatenate(lists), minlength=size)
-        return np.flatnonzero(count >= least)
-    out, last, n = [], -1, 0
-    for x in heapq.merge(*map(list, lists)):
-        last, n = (x, 1) if x != last else (x, n + 1)
-        if n == least:
-            out.append(x)
-    return np.array(out, np.int64)
+        out = np.flatnonzero(count >= least)
+        return out, count[out]
+    count: dict[int, int] = {}
+    for x in heapq.merge(*(p.tolist() for p in lists)):
+        count[x] = count.get(x, 0) + 1
+    out = [x for x, n in count.items() if n >= least]
+    return np.array(out, np.int64), np.array([count[x] for x in out], np.int64)
 
 
-def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the components of all pairs with Jaccard >= num / den. Sets are ascending and not empty."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+def linked(sets: list[np.ndarray], num: int, den: int, every: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each set, the earlier ones (by size) with Jaccard >= num / den, and which of those span the components. Sets are ascending and not empty.
+
+    Unless every, only as many are found as span the components.
+    """
+    order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), np.int64)
     size = np.array([len(sets[i]) for i in order], np.int64)
     code = np.concatenate([sets[i] for i in order])
     doc = np.repeat(np.arange(len(order)), size)
@@ -157,7 +163,13 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     keyed = inverse[by].astype(np.int64) * width + post  # (list, entry), ascending: binary probes of many lists at once
     at = np.r_[0, np.cumsum(size)]
     comp = np.arange(len(order))
-    links = []
+    # Lists with a 64th of the sets or more have a bit in each set's row of a map, which so takes no more than 8 bytes an entry.
+    heavy = np.flatnonzero(long_by >= max(64, width // 64))
+    spot = np.full(len(long_by), -1)
+    spot[heavy] = np.arange(len(heavy))
+    bits = np.zeros((width, -(-len(heavy) // 64)), np.uint64)
+    for i, x in enumerate(heavy.tolist()):
+        bits[post[edge[x] : edge[x + 1]], i // 64] |= np.uint64(1 << i % 64)
     for q in range(1, len(order)):
         n = int(size[q])
         low = int(np.searchsorted(size, -(-num * n // den)))
@@ -176,23 +188,73 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         for i in short.tolist():
             p = post[edge[i] : edge[i + 1]]
             parts.append(p[bisect_left(p, low) : bisect_left(p, q)] if len(p) < 32 else p[np.searchsorted(p, low) : np.searchsorted(p, q)])
-        found = _merge(parts, max(1, need - n_long), width)
-        while len(found := found[comp[found] != comp[q]]):
-            # One candidate of each component that isn't the query's own yet; the first and so the smallest.
-            _, pick = np.unique(comp[found], return_index=True)
-            for p in found[pick].tolist():
-                if comp[p] == comp[q]:
-                    continue
-                both = sum(1 for x in parts if len(x) and (k := int(np.searchsorted(x, p))) < len(x) and x[k] == p)
-                probe = far * width + p
-                spot = np.minimum(np.searchsorted(keyed, probe), len(keyed) - 1)
-                both += int((keyed[spot] == probe).sum())
-                if den * both >= num * (n + int(size[p]) - both):
-                    links.append((order[p], order[q]))
-                    a, b = sorted((comp[p], comp[q]))
-                    comp[comp == b] = a
-            found = np.delete(found, pick)
-    return links
+        found, both = _merge(parts, max(1, need - n_long), width)
+        probed, mapped = far[spot[far] < 0], spot[far[spot[far] >= 0]]
+        mask = np.zeros(bits.shape[1], np.uint64)
+        np.bitwise_or.at(mask, mapped // 64, np.uint64(1) << (mapped % 64).astype(np.uint64))
+        words = np.flatnonzero(mask)
+        while True:
+            if not every:
+                left = comp[found] != comp[q]
+                found, both = found[left], both[left]
+            if not len(found):
+                break
+            # Unless every, one candidate of each component that isn't the query's own yet; the first and so the smallest.
+            pick = np.arange(len(found)) if every else np.unique(comp[found], return_index=True)[1]
+            p, overlap = found[pick], both[pick]
+            step = max(1, (1 << 20) // max(1, len(probed), len(words)))
+            for i in range(0, len(p), step):
+                part = p[i : i + step]
+                if len(probed):
+                    probe = probed[:, None] * width + part
+                    overlap[i : i + step] += (keyed[np.minimum(np.searchsorted(keyed, probe), len(keyed) - 1)] == probe).sum(0)
+                if len(words):
+                    overlap[i : i + step] += np.bitwise_count(bits[part[:, None], words] & mask[words]).sum(1, dtype=np.int64)
+            p = p[den * overlap >= num * (n + size[p] - overlap)]
+            if len(p):
+                names, first = np.unique(comp[p], return_index=True)
+                first = first[names != comp[q]]
+                yield int(order[q]), order[p], order[p[first]]
+                if len(first):
+                    names = np.r_[names, comp[q]]
+                    comp[np.isin(comp, names)] = names.min()
+            if every:
+                break
+            found, both = np.delete(found, pick), np.delete(both, pick)
+
+
+def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """All pairs with Jaccard >= num / den. Sets are ascending and not empty."""
+    return [(p, q) for q, found, _ in linked(sets, num, den) for p in found.tolist()]
+
+
+def counted(sets: list[np.ndarray], num: int, den: int, rows: np.ndarray, elsewhere: list[list], dealt: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span the components, and the rows that each set is linked with, of links that no other group counts.
+
+    rows: the rows that have the set; elsewhere: the earlier groups that the set is in; dealt: the set's block; the links
+    inside a block with a negative number count elsewhere.
+    """
+    spanning, total = [], np.zeros(len(sets), np.int64)
+    members: dict = {}
+    for i, names in enumerate(elsewhere):
+        for name in names:
+            members.setdefault(name, []).append(i)
+    arrays = {name: np.array(m) for name, m in members.items() if len(m) > 1}
+    mark = np.zeros(len(sets), bool)
+    for q, found, span in linked(sets, num, den):
+        spanning += [(p, q) for p in span.tolist()]
+        if dealt[q] < 0:
+            found = found[dealt[found] != dealt[q]]
+        shared = [arrays[x] for x in elsewhere[q] if x in arrays]
+        if shared:
+            for m in shared:
+                mark[m] = True
+            found = found[~mark[found]]
+            for m in shared:
+                mark[m] = False
+        total[q] += rows[found].sum()
+        total[found] += rows[q]
+    return spanning, total
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +333,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. One row per row of docs."""
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, links: bool = False) -> DataFrame:
+    """id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. One row per row of docs.
+
+    With links also n_links: the other rows, copies too, that the row is linked with.
+    """
     bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -311,7 +376,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = met.join(enough, ["k", "s"]).select("v", "k", "c")
     roots = met.groupBy("v").agg(F.max(F.struct("c", "k")).alias("most"), F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("v", F.col("most.k").alias("root"))
     groups = written(met.join(roots, "v").select("root", "k").distinct(), "groups")
-    reps = nodes.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    reps = nodes.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     chosen = written(groups.select("k").distinct().join(reps, "k"), "chosen")
     id_map = _bit_map(chosen.select(F.xxhash64("rep").alias("v")), MAP_BITS)
 
@@ -328,23 +393,48 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = groups.join(chosen.select("k", "n"), "k").groupBy("root").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks")).withColumnRenamed("root", "w_root")
     dealt = groups.join(weight, F.col("root") == F.col("w_root")).withColumn("own", F.pmod(F.xxhash64("k", "root"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    dealt = dealt.withColumn("x", F.explode(other)).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "k")
+    dealt = dealt.withColumn("x", F.explode(other)).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "k", "own")
+    if links:
+        # A set's groups, and the rows that have it.
+        several = groups.groupBy("k").agg(F.collect_list("root").alias("roots")).withColumnRenamed("k", "m_k")
+        dealt = dealt.join(several, F.col("k") == F.col("m_k")).join(chosen.select(F.col("k").alias("c_k"), "rows"), F.col("k") == F.col("c_k"))
+        dealt = dealt.select("root", "i", "j", "k", "own", "rows", F.filter("roots", lambda x: x < F.col("root")).alias("earlier"))
 
     def find(t: pa.Table) -> pa.Table:
         k = t.column("k").to_numpy()
-        links = search([np.frombuffer(c, np.uint64) for c in t.column("codes").to_pylist()], num, den)
-        a, b = (k[[x[i] for x in links]] if links else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = dealt.join(sets, F.col("k") == F.col("s")).select("root", "i", "j", "k", "codes").groupBy("root", "i", "j").applyInArrow(find, "a long, b long")
-    comps = components(links)
-    linked = comps.join(reps.select("k", "rep"), F.col("node") == F.col("k")).select("component", "rep", "k")
-    names = linked.groupBy("component").agg(F.min("rep").alias("name")).withColumnRenamed("component", "c")
-    named = linked.join(names, F.col("component") == F.col("c")).select(F.col("k").alias("l_k"), "name")
-    every = reps.join(named, F.col("k") == F.col("l_k"), "left").select(F.col("k").alias("r_k"), F.coalesce("name", "rep").alias("component_id"))
+        sets = [np.frombuffer(c, np.uint64) for c in t.column("codes").to_pylist()]
+        if links:
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            own = t.column("own").to_numpy()
+            # A block's inner links count where it meets the first other block.
+            here = (i == j) | (i + j - own == np.where(own == 0, 1, 0))
+            spanning, total = counted(sets, num, den, t.column("rows").to_numpy(), t.column("earlier").to_pylist(), np.where(here, own, -1 - own))
+        else:
+            spanning, total = [(p, q) for q, _, span in linked(sets, num, den, False) for p in span.tolist()], np.zeros(0, np.int64)
+        a, b = (k[[x[i] for x in spanning]] if spanning else np.zeros(0, np.int64) for i in (0, 1))
+        some = np.flatnonzero(total)
+        none = pa.nulls(len(some), pa.int64())
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(a, pa.int64()), pa.array(k[some], pa.int64())]), "b": pa.concat_arrays([pa.array(b, pa.int64()), none]),
+            "n": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(total[some], pa.int64())])})
+
+    gathered = dealt.join(sets, F.col("k") == F.col("s")).drop("s").groupBy("root", "i", "j")
+    found = gathered.applyInArrow(find, "a long, b long, n long")
+    if links:
+        found = written(found, "found")
+    comps = components(found.where("n IS NULL").select("a", "b"))
+    tied = comps.join(reps.select("k", "rep"), F.col("node") == F.col("k")).select("component", "rep", "k")
+    names = tied.groupBy("component").agg(F.min("rep").alias("name")).withColumnRenamed("component", "c")
+    named = tied.join(names, F.col("component") == F.col("c")).select(F.col("k").alias("l_k"), "name")
+    every = reps.join(named, F.col("k") == F.col("l_k"), "left").select(F.col("k").alias("r_k"), F.coalesce("name", "rep").alias("component_id"), "rows")
+    if links:
+        near = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("near"))
+        every = every.join(near, F.col("r_k") == F.col("a"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("near", F.lit(0)))
     out = nodes.join(every, F.col("k") == F.col("r_k"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
