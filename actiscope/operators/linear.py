@@ -173,24 +173,46 @@ def scrambled(df: DataFrame, y: str, idx: str, iterations: int) -> DataFrame:
     return base.join(order, "s_r").select("iteration", *[F.col("s_y").alias(y) if c == y else F.col(c) for c in df.columns])
 
 
-def y_scrambling(df: DataFrame, y: str, features: list[str], idx: str, iterations: int = 100, alpha: float = 0.0) -> DataFrame:
-    """real, mean, largest r2 and p_value of models that are fitted to permuted responses."""
+def _press(s: Sums, m: Linear, centre: np.ndarray) -> float:
+    """The squared errors of a model on the rows of some sums."""
+    b = np.array(m.coefficients)
+    a = m.intercept - centre[0] + b @ centre[1:]
+    return float(s.c[0, 0] - 2 * b @ s.c[1:, 0] + b @ s.c[1:, 1:] @ b + s.n * a * a - 2 * a * (s.s[0] - b @ s.s[1:]))
+
+
+def y_scrambling(df: DataFrame, y: str, features: list[str], idx: str, iterations: int = 100, alpha: float = 0.0, folds: int = 5) -> DataFrame:
+    """real, mean, largest r2 and p_value of models that are fitted to permuted responses.
+
+    r2 is that of pooled predictions out of fold, folds being dealt by a hash of the id; with folds = 0 it is that of the rows the model was fitted to.
+    """
     names = [y, *features]
     d = _whole(df, names).select(idx, *names)
     centre = _centre(d, names)
-
-    def score(s: Sums) -> float:
-        m = s.s / s.n
-        c = s.c - s.n * np.outer(m, m)
-        b = np.array(s.solve(centre, alpha).coefficients)
-        return float(1 - (c[0, 0] - 2 * b @ c[1:, 0] + b @ c[1:, 1:] @ b) / c[0, 0]) if c[0, 0] > 0 else float("nan")
-
-    own = _sums(d, names, centre, F.lit(0))
+    if folds:
+        deal = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("fold"), F.col(idx).cast("string"))), 1, 8), 16, 10).cast("long") % folds
+        d = d.withColumn("y_fold", deal)
+    width = max(folds, 1)
+
+    def score(per: list[Sums]) -> float:
+        total = Sums(sum(s.n for s in per), sum(s.s for s in per), sum(s.c for s in per))
+        spread = total.c[0, 0] - total.s[0] ** 2 / total.n
+        if spread <= 0 or (folds and len(per) < 2):
+            return float("nan")
+        return float(1 - sum(_press(s, (total - s if folds else s).solve(centre, alpha), centre) for s in per) / spread)
+
+    def scores(rows: DataFrame, it: Column) -> list[float]:
+        sums = _sums(rows, names, centre, it * width + (F.col("y_fold") if folds else F.lit(0)))
+        by: dict[int, list[Sums]] = {}
+        for k in sorted(sums):
+            by.setdefault(k // width, []).append(sums[k])
+        return [score(per) for per in by.values()]
+
+    own = scores(d, F.lit(0))
     kind = "real double, mean double, largest double, p_value double"
     if not own:
         return df.sparkSession.createDataFrame([], kind)
-    real = score(own[0])
-    rest = [score(s) for s in _sums(scrambled(d, y, idx, iterations), names, centre, F.col("iteration")).values()]
+    real = own[0]
+    rest = scores(scrambled(d, y, idx, iterations), F.col("iteration"))
     row = (real, float(np.mean(rest)), float(np.max(rest)), (sum(r >= real for r in rest) + 1) / (len(rest) + 1))
     return df.sparkSession.createDataFrame([row], kind)
 

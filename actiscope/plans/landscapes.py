@@ -124,12 +124,33 @@ def bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linear.bootstrap(d, "y", ["x1"], "id", 10))
 
 
+@query(f"""WITH x AS (SELECT event_id AS id, value AS y, event_id % 97 + 0.0 AS x1 FROM events WHERE value IS NOT NULL),
+u AS (SELECT t.it, x.*, ('0x' || substr(md5(t.it || ':' || id), 1, 8))::BIGINT / 4294967296 AS u FROM x, range(100) t(it)),
+c AS (SELECT generate_series AS k, exp(-1) / gamma(generate_series + 1) AS t FROM generate_series(0, {linear.POISSON - 1})), l AS (SELECT sum(t) OVER (ORDER BY k) AS b FROM c),
+w AS (SELECT it, id, y, x1, (SELECT count(*) FROM l WHERE b <= u) AS w FROM u),
+m AS (SELECT it, sum(w) AS n, sum(w * y) / sum(w) AS my, sum(w * x1) / sum(w) AS m1, sum(w * x1 * x1) / sum(w) - pow(sum(w * x1) / sum(w), 2) AS s11, sum(w * x1 * y) / sum(w) - sum(w * y) / sum(w) * sum(w * x1) / sum(w) AS s1y FROM w GROUP BY it)
+SELECT it::INTEGER AS iteration, count(*) AS n_out, round(1 - sum(pow(my + s1y / s11 * (x1 - m1) - y, 2)) / (var_pop(y) * count(*)), 6) AS r2 FROM w JOIN m USING (it) WHERE w = 0 GROUP BY it HAVING count(*) >= 2""")
+def bootstrap_scores_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("y"), (F.col("event_id") % 97 + F.lit(0.0)).alias("x1"))
+    return rounded(linear.bootstrap(d, "y", ["x1"], "id"))
+
+
 @query("""WITH x AS (SELECT event_id AS id, value AS y, event_id % 97 + 0.0 AS x1 FROM events WHERE value IS NOT NULL), b AS (SELECT id, x1, row_number() OVER (ORDER BY id) AS r FROM x),
 o AS (SELECT it, y, row_number() OVER (PARTITION BY it ORDER BY md5(it || ':' || id), id) AS r FROM x, range(10) t(it)), s AS (SELECT it, pow(corr(x1, o.y), 2) AS r2 FROM b JOIN o USING (r) GROUP BY it), k AS (SELECT pow(corr(x1, y), 2) AS r2 FROM x)
 SELECT round(any_value(k.r2), 6) AS real, round(avg(s.r2), 6) AS mean, round(max(s.r2), 6) AS largest, round((count(*) FILTER (s.r2 >= k.r2) + 1) / (count(*) + 1), 6) AS p_value FROM s, k""")
 def y_scrambling(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("y"), (F.col("event_id") % 97 + F.lit(0.0)).alias("x1"))
-    return rounded(linear.y_scrambling(d, "y", ["x1"], "id", 10))
+    return rounded(linear.y_scrambling(d, "y", ["x1"], "id", 10, folds=0))
+
+
+@query("""WITH x AS (SELECT event_id AS id, value AS y, event_id % 97 + 0.0 AS x1, ('0x' || substr(md5('fold:' || event_id), 1, 8))::BIGINT % 5 AS fold FROM events WHERE value IS NOT NULL), b AS (SELECT id, x1, fold, row_number() OVER (ORDER BY id) AS r FROM x),
+o AS (SELECT it, y, row_number() OVER (PARTITION BY it ORDER BY md5(it || ':' || id), id) AS r FROM x, range(100) t(it)), a AS (SELECT it, x1, fold, o.y FROM b JOIN o USING (r) UNION ALL SELECT -1, x1, fold, y FROM x),
+m AS (SELECT it, f.fold, regr_slope(y, x1) AS b1, regr_intercept(y, x1) AS b0 FROM a, range(5) f(fold) WHERE a.fold <> f.fold GROUP BY it, f.fold),
+s AS (SELECT it, 1 - sum(pow(y - b0 - b1 * x1, 2)) / (var_pop(y) * count(*)) AS r2 FROM a JOIN m USING (it, fold) GROUP BY it), k AS (SELECT r2 FROM s WHERE it < 0)
+SELECT round(any_value(k.r2), 6) AS real, round(avg(s.r2), 6) AS mean, round(max(s.r2), 6) AS largest, round((count(*) FILTER (s.r2 >= k.r2) + 1) / (count(*) + 1), 6) AS p_value FROM s, k WHERE it >= 0""")
+def y_scrambling_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("y"), (F.col("event_id") % 97 + F.lit(0.0)).alias("x1"))
+    return rounded(linear.y_scrambling(d, "y", ["x1"], "id"))
 
 
 @query("SELECT round(avg(l_extendedprice), 4) AS value FROM lineitem")

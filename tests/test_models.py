@@ -1,5 +1,6 @@
 """Linear models against numpy, landscapes against all pairs, streams against batches, pipes and sources."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -142,3 +143,24 @@ def test_sd_and_tables(spark, tmp_path):
     assert [(r.smiles, r.y, r.note) for r in rows] == [("CCO", 5.1, 'a, "b"'), ("CC", None, None)]
     with pytest.raises(ValueError):
         smiles.read_table(spark, str(tmp_path / "t.csv"), smiles="s")
+
+
+def test_scrambling_is_scored_out_of_fold(spark):
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(40, 12)), r.normal(size=40)
+    names = [f"x{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(40)], ["id", "y", *names])
+    row = linear.y_scrambling(df, "y", names, "id").first()
+    inside = linear.y_scrambling(df, "y", names, "id", folds=0).first()
+    fold = np.array([int(hashlib.md5(f"fold:{i}".encode()).hexdigest()[:8], 16) % 5 for i in range(40)])
+    pred = np.zeros(40)
+    for k in range(5):
+        a, b = ridge(x[fold != k], y[fold != k])
+        pred[fold == k] = a + x[fold == k] @ b
+    assert row.real == pytest.approx(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert row.mean < 0 < inside.mean  # twelve features of forty rows fit noise, and predict none
+
+
+def test_defaults_can_find_significance(data):
+    _, _, df = data
+    assert linear.y_scrambling(df, "y", ["a", "b", "c"], "id").first().p_value == pytest.approx(1 / 101)
