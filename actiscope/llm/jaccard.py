@@ -4,7 +4,7 @@
 2. Routing.  Two sets of sizes a, b with Jaccard >= t differ in at most d = (a + b)(1 - t)/(1 + t) shingles.  Cut the hash range into d + 1 + s
    segments: at least 1 + s segments hold the same shingles in both sets.  A node is routed by the hashes of its segments, for the size
    class of its own and, if near its lower bound, of the class below.  Empty segments count only for a node with more than s of them; any
-   other shares 1 + s routes less its empty ones.  So routing loses no pair, and texts that merely share passages share too few routes.
+   node shares 1 + s routes less its empty ones, and one at least.  So routing loses no pair, and texts that merely share passages share too few routes.
    Routes with one node are dropped, nodes with too few of the others too; a bit map of fixed size keeps most of them from a second shuffle.
 3. Search.  Nodes that share a route meet in a group.  There every set queries an inverted index of the smaller sets: T-occurrence search by
    DivideSkip, which merges the short lists on a heap (by counting, where many entries are to merge), probes the long ones by binary
@@ -116,7 +116,8 @@ def routes(code: np.ndarray, at: np.ndarray, num: int, den: int) -> list[tuple[n
         keep = full | every[of]
         tag = ((own_class[use] - down)[of] << 40 | np.arange(len(of)) - base[of]).astype(np.uint64)
         need = np.zeros(len(n), np.int64)
-        need[use] = np.where(every, 1 + slack, 1 + slack - empty)
+        # Segments that are empty in both sets are routes only if both have many: they can't be counted on.
+        need[use] = np.maximum(1, 1 + slack - empty)
         count = np.zeros(len(n), np.int64)
         count[use] = np.bincount(of, weights=keep, minlength=len(use)).astype(np.int64)
         found.append((mix(total + mix(tag + np.uint64(1)))[keep], np.r_[0, np.cumsum(count)], need))
@@ -266,7 +267,7 @@ def shared_routes(routed: DataFrame) -> DataFrame:
     """v: the upper 48 bits of the routes that more than one set has.
 
     Only one long per set and route is shuffled: those 48 bits and 16 bits of a hash of set and route.  Two sets on a route are taken for one
-    if the latter agree; linked sets share four routes or more, so all of them would have to.
+    if the latter agree; linked sets share several routes, so all of them would have to, except that sets with many empty segments may share one only.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,14 @@ def test_query_gives_links(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
     got = {r.doc_id: r.n_links for r in jaccard.query(spark, SF).collect()}
     assert got == dict(zip(d.doc_id, brute_links(d.text, 3, 90, 100), strict=True))
+
+
+def test_short_sets_share_the_routes_they_need():
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 2**64, (4000, 5), dtype=np.uint64)
+    pairs = [np.sort(x) for c in code for x in (c[:4], c)]  # Jaccard exactly 0.8
+    at = np.r_[0, np.cumsum([len(x) for x in pairs])]
+    got = jaccard.routes(np.concatenate(pairs), at, 80, 100)
+    own = [[set(v[o[i] : o[i + 1]].tolist()) for i in range(len(pairs))] for v, o, _ in got]
+    for i in range(0, len(pairs), 2):
+        assert any(len(own[s][i] & own[t][i + 1]) >= max(got[s][2][i], got[t][2][i + 1], 1) for s in (0, 1) for t in (0, 1))
