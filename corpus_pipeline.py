@@ -2,7 +2,7 @@
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.  All stages but the last
 return the columns of documents.  Empty tables pass through all stages as empty tables; how nulls, empty texts and repeated rows are
-treated, the operators' modules say.  Rows that have no id and aren't linked to a row with one stay in the third stage: their group has no name.
+treated, the operators' modules say.  The third stage keeps a row of each group, also of groups without an id.
 """
 
 from __future__ import annotations
@@ -26,12 +26,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8."""
-    groups = jaccard.jaccard_join(docs, words=5, num=80, den=100)
-    first = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first")
-    out = docs.join(first.select(F.col("doc_id").alias("first_id")), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    repeated = first.where("doc_id IS NOT NULL AND rows > 1").limit(1).count()
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
+    """One document, that of the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows are told apart by id and text; a group without an id keeps a row too. Rows without words are in no group and all stay.
+    """
+    keyed = docs.withColumn("dedup_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    groups = jaccard.jaccard_join(keyed, id_col="dedup_key", words=5, num=80, den=100)
+    first = groups.where((F.col("n_shingles") == 0) | (F.col("dedup_key") == F.col("component_id"))).groupBy(F.col("dedup_key").alias("first_key"))
+    first = written(first.agg(F.count(F.lit(1)).alias("first_rows"), F.max("n_shingles").alias("first_n")), "first")
+    out = keyed.join(first, F.col("dedup_key") == F.col("first_key"))
+    if first.where("first_n > 0 AND first_rows > 1").limit(1).count():
+        out = out.where("first_n = 0").unionByName(out.where("first_n > 0").dropDuplicates(["dedup_key"]))
+    return out.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

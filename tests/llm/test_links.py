@@ -71,3 +71,14 @@ def test_short_sets_share_the_routes_they_need():
     own = [[set(v[o[i] : o[i + 1]].tolist()) for i in range(len(pairs))] for v, o, _ in got]
     for i in range(0, len(pairs), 2):
         assert any(len(own[s][i] & own[t][i + 1]) >= max(got[s][2][i], got[t][2][i + 1], 1) for s in (0, 1) for t in (0, 1))
+
+
+def test_survivors_are_rows(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, c), (3, a + " more"), (3, d), (None, b + " more"), (None, "one two"), (None, "ONE two"), (4, c), (4, ""), (5, None), (5, None), (2, b)]
+    got = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = [(r.doc_id, r.text.lower() if r.text else r.text) for r in got]
+    want = [(1, a), (2, b), (2, c), (3, d), (None, "one two"), (4, ""), (5, None), (5, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
