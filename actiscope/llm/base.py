@@ -1,8 +1,8 @@
 """What the operators of this subpackage share: scratch tables, Arrow text access, folds.
 
 Scratch tables are written under ``spark.checkpoint.dir``, which the whole cluster sees, so a lost
-executor costs a re-read and never a result.  Only if the session names no such folder (tests on one
-machine) a local one is made and set.
+executor costs a re-read and never a result.  Only a session on one machine may name no such folder:
+a local one is made and set.  `dropped` deletes scratch tables that nothing will read any more.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,12 +45,32 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The frame as a table in the shared folder, read back: lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table behind a frame of `written`; frames derived from it can't be computed any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that clash with no column of the frame, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -133,6 +155,23 @@ def binary_array(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
+def bit_map(values: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2^bits bits over the low bits of a long column v; 2^(bits - 6) rows at most reach the driver."""
+    word = F.col("v").bitwiseAND((1 << (bits - 6)) - 1)
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(v, {bits - 6}) & 63 AS INT))")
+    got = values.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(found: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set: always, if it was among the values."""
+    v = v.astype(np.int64)
+    bit = v >> (len(found).bit_length() - 1) & 63
+    return (found[v & (len(found) - 1)] >> bit.astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def kept(docs: DataFrame, text_col: str, test, extra: dict[str, Column] | None = None) -> DataFrame:
     """The rows of docs whose slice test(batch, text column, extra columns...) marks; columns as before.
 
@@ -140,12 +179,8 @@ def kept(docs: DataFrame, text_col: str, test, extra: dict[str, Column] | None =
     """
     bounded(docs.sparkSession)
     names = docs.columns
-    added = []
-    for column in (extra or {}).values():
-        name = f"kept_{len(added)}"
-        while name in names:
-            name += "_"
-        added.append(name)
+    added = fresh(docs, *(f"kept_{i}" for i in range(len(extra or {}))))
+    for name, column in zip(added, (extra or {}).values(), strict=True):
         docs = docs.withColumn(name, column)
     schema = docs.select(*names).schema
 
