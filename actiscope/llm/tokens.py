@@ -264,7 +264,9 @@ def read_ids(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of each document, read back from the files that write_ids lists."""
     # One row per file, so this window is small.
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    listed = files.withColumn("before", F.coalesce(F.sum("ids").over(w), F.lit(0))).select("path", "before").repartition(F.col("path"))
+    listed = files.withColumn("before", F.coalesce(F.sum("ids").over(w), F.lit(0))).select("path", "before")
+    # A stated number of partitions: adaptive execution would join them, as it sees the paths' few bytes and not the files'.
+    listed = listed.repartition(max(1, files.count()), F.col("path"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,7 +6,9 @@ member from a stream, frames each record by its content-length, recomputes block
 
 Defined cases: a null payload is an empty one; a null url is left out; characters of a url that a header can't hold are percent-encoded; of
 rows that repeat id and payload all are responses if that id is the smallest; a null id is never referred to, and is a response if all ids with its
-payload are null. Payloads under `least` bytes are always responses. An empty table gives no records. Other columns are ignored.
+payload are null. Payloads under `least` bytes are always responses. An empty table gives no records. Other columns are ignored. Records that the
+reader meets in others' archives may lack digests and HTTP heads (warcinfo, request, metadata); their payload is the block, or what follows an HTTP head.
+A record is held in memory whole, twice while it is inflated.
 """
 
 from __future__ import annotations
@@ -79,30 +81,53 @@ def members(stream, step: int = STEP) -> Iterator[tuple[int, bytes]]:
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
-    pairs = (line.decode().split(":", 1) for line in lines if line)
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    """Header fields by lower-case name; a line without a colon continues none and is left out."""
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return {k.strip().lower(): v.strip() for k, colon, v in pairs if colon}
+
+
+def _size(fields: dict[str, str], offset: int) -> int | None:
+    told = fields.get("content-length")
+    if told is not None and not (told.isascii() and told.isdigit()):
+        raise ValueError(f"the length at {offset} is no number")
+    return None if told is None else int(told)
+
+
+def _verify(digest: str | None, data: bytes, message: str) -> None:
+    """SHA-1 digests are checked; one that is absent, or of another algorithm, says nothing here."""
+    if digest is not None and digest.lower().startswith("sha1:") and digest[5:].upper() != sha1(data):
+        raise ValueError(message)
 
 
 def read(stream) -> Iterator[Record]:
-    """All records of an archive, verified."""
+    """All records of an archive, of any type, verified by the lengths and SHA-1 digests that they state; ValueError on damage."""
     for offset, data in members(stream):
         cut = data.find(b"\r\n\r\n")
         if cut < 0 or not data.startswith(b"WARC/1."):
             raise ValueError(f"no record head at {offset}")
         f = _fields(data[:cut].split(b"\r\n")[1:])
-        size = int(f["content-length"])
+        size = _size(f, offset)
+        if not {"warc-type", "warc-record-id"} <= f.keys() or size is None:
+            raise ValueError(f"the record at {offset} lacks its type, id or length")
         block = data[cut + 4 : cut + 4 + size]
         if len(block) != size or data[cut + 4 + size :] != b"\r\n\r\n":
             raise ValueError(f"the record at {offset} isn't as long as its head says")
-        if f["warc-block-digest"] != f"sha1:{sha1(block)}":
-            raise ValueError(f"the block digest at {offset} is wrong")
-        cut = block.index(b"\r\n\r\n") + 4
-        http, payload, digest = _fields(block[: cut - 4].split(b"\r\n")[1:]), block[cut:], f["warc-payload-digest"].removeprefix("sha1:")
-        full = int(http["content-length"])
-        if f["warc-type"] == "response" and (sha1(payload) != digest or len(payload) != full):
-            raise ValueError(f"the payload digest at {offset} is wrong")
+        _verify(f.get("warc-block-digest"), block, f"the block digest at {offset} is wrong")
+        kind, payload, full = f["warc-type"], block, size
+        if f.get("content-type", "").startswith("application/http"):
+            cut = block.find(b"\r\n\r\n")
+            if cut < 0:
+                raise ValueError(f"no end of the HTTP head at {offset}")
+            payload = block[cut + 4 :]
+            told = _size(_fields(block[:cut].split(b"\r\n")[1:]), offset)
+            full = len(payload) if told is None else told
+        if kind != "revisit":  # a revisit's digest is that of the payload it leaves out
+            if len(payload) != full:
+                raise ValueError(f"the payload at {offset} isn't as long as its head says")
+            _verify(f.get("warc-payload-digest"), payload, f"the payload digest at {offset} is wrong")
+        digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or sha1(payload)
         refers = f.get("warc-refers-to")
-        yield Record(offset, f["warc-type"], f["warc-record-id"][1:-1], f.get("warc-target-uri"), refers and refers[1:-1], digest, full, payload)
+        yield Record(offset, kind, f["warc-record-id"].strip("<>"), f.get("warc-target-uri"), refers and refers.strip("<>"), digest, full, payload)
 
 
 def _urn(page_id: int | None) -> str:
@@ -177,7 +202,8 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(work, RECORD)
+    # A stated number of partitions: adaptive execution would join them, as it sees the paths' few bytes and not the archives'.
+    return files.select("path").repartition(max(1, files.count()), F.col("path")).mapInArrow(work, RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
