@@ -5,7 +5,9 @@
    segments: at least 1 + s segments hold the same shingles in both sets.  A node is routed by the hashes of its segments, for the size
    class of its own and, if near its lower bound, of the class below.  Empty segments count only for a node with more than s of them; any
    node shares 1 + s routes less its empty ones, and one at least.  So routing loses no pair, and texts that merely share passages share too few routes.
-   Routes with one node are dropped, nodes with too few of the others too; a bit map of fixed size keeps most of them from a second shuffle.
+   Routes with one node are dropped, nodes with too few of the others too; a bit map of fixed size keeps most of them from a second shuffle.  Of the
+   routes left each node drops its most common ones, one less than it shares with any linked node at least: of the routes that two linked nodes share
+   the least common stays in both (the prefix principle), and passages that many texts have bring few together.
 3. Search.  Nodes that share a route meet in a group.  There every set queries an inverted index of the smaller sets: T-occurrence search by
    DivideSkip, which merges the short lists on a heap (by counting, where many entries are to merge), probes the long ones by binary
    search, or in a bit map of the longest, and keeps sets that reach the required overlap.  Groups of more than GROUP shingles are cut into blocks, and
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binary_array, bounded, list_array, ragged, slices, table, written
+from .base import binary_array, bit_map, bounded, dropped, in_map, list_array, ragged, slices, table, written
 from .gru import tokenized
 
 #: Shingles of a group that one task searches.
@@ -264,52 +266,51 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_routes(routed: DataFrame) -> DataFrame:
-    """v: the upper 48 bits of the routes that more than one set has.
+    """v: the routes that more than one node has. routed has a row a node, or more of a few.
 
-    Only one long per set and route is shuffled: those 48 bits and 16 bits of a hash of set and route.  Two sets on a route are taken for one
-    if the latter agree; linked sets share several routes, so all of them would have to, except that sets with many empty segments may share one only.
+    A batch sends a route once, or twice if several of its rows have it: a node that occurs twice makes routes look shared, never unshared, and a
+    route that a third of all nodes have is sent some times a batch, not a node.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.uint64(0xFFFF)
         for b in batches:
             for s in (0, 1):
-                v, own = _flat(b.column(f"routes{s}"))
-                k = b.column("k").to_numpy().view(np.uint64)[own]
-                v = v.view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique((v & ~low) | (mix(k ^ v) & low)).view(np.int64))], ["p"])
+                v, _ = _flat(b.column(f"routes{s}"))
+                v.sort()
+                first = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
+                second = np.r_[False, ~first[1:] & first[:-1]] if len(v) else first
+                yield pa.RecordBatch.from_arrays([pa.array(v[first | second])], ["v"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, told = np.zeros(0, np.int64), None
         for b in batches:
-            p = np.concatenate([last, b.column("p").to_numpy()])
-            p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
-            v = p >> 16
+            v = np.concatenate([last, b.column("v").to_numpy()])
             hot = np.unique(v[1:][v[1:] == v[:-1]])
             hot = hot[hot != told] if told is not None else hot
             if len(hot):
                 told = hot[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(hot)], ["v"])
-            last = p[-1:]
+            last = v[-1:]
+
+    return routed.mapInArrow(pack, "v long").repartition("v").sortWithinPartitions("v").mapInArrow(several, "v long")
 
-    packed = routed.mapInArrow(pack, "p long")
-    return packed.repartition(F.shiftright("p", 16)).sortWithinPartitions("p").mapInArrow(several, "v long")
 
+def one_each(made: DataFrame) -> DataFrame:
+    """Routes of the nodes, those of texts with equal sets once: only rows whose set occurs again, by a bit map, are shuffled."""
+    cols = ["k", "routes0", "need0", "routes1", "need1"]
+    again = made.where("k IS NOT NULL").groupBy("k").count().where("count > 1")
+    found = bit_map(again.select(F.col("k").alias("v")), MAP_BITS)
 
-def _bit_map(values: DataFrame, bits: int) -> np.ndarray:
-    """A map of 2^bits bits over the low bits of a long column v; 2^(bits - 6) rows at most reach the driver."""
-    word = F.col("v").bitwiseAND((1 << (bits - 6)) - 1)
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(v, {bits - 6}) & 63 AS INT))")
-    got = values.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    return out
+    def part(want: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(in_map(found, b.column("k").to_numpy()) == want))
 
+        return work
 
-def _in_map(found: np.ndarray, v: np.ndarray) -> np.ndarray:
-    v = v.astype(np.int64)
-    bit = v >> (len(found).bit_length() - 1) & 63
-    return (found[v & (len(found) - 1)] >> bit.astype(np.uint64) & np.uint64(1)).astype(bool)
+    rows = made.where("k IS NOT NULL").select(*cols)
+    repeated = rows.mapInArrow(part(True), rows.schema).groupBy("k").agg(*(F.first(c).alias(c) for c in cols[1:]))
+    return rows.mapInArrow(part(False), rows.schema).unionByName(repeated)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -326,8 +327,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(down, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b")
-        edges = written(small.distinct(), "links")
+        old, edges = edges, written(small.distinct(), "links")
         after = state(edges)
+        dropped(old)
         if after == before:
             break
         before = after
@@ -354,9 +356,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     made = written(d.mapInArrow(keys, f"id {kind}, n long, k long, routes0 array<long>, need0 int, routes1 array<long>, need1 int"), "sets")
     nodes = made.select("id", "n", "k")
-    routed = made.where("k IS NOT NULL").select("k", "routes0", "need0", "routes1", "need1")
+    routed = one_each(made)
     shared = written(shared_routes(routed), "routes")
-    route_map = _bit_map(shared, MAP_BITS)
+    route_map = bit_map(shared, MAP_BITS)
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -364,26 +366,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for s in (0, 1):
                 v, own = _flat(b.column(f"routes{s}"))
                 need = b.column(f"need{s}").to_numpy()
-                v >>= 16
-                hit = _in_map(route_map, v)
+                hit = in_map(route_map, v)
                 hit &= (np.bincount(own, weights=hit, minlength=b.num_rows) >= need)[own]
                 v, own = v[hit], own[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(k[own]), pa.array(np.full(len(v), s, np.int32)), pa.array(need[own])], ["v", "k", "s", "need"])
 
     # One row per set and shared route, whatever the number of its copies; a set stays that shares as many routes as a linked one must.
     met = written(routed.mapInArrow(meeting, "v long, k long, s int, need int").distinct().join(shared, "v"), "met")
-    enough = met.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).where("c >= least").select("k", "s", "c")
+    common = met.groupBy("v").agg(F.count(F.lit(1)).alias("nodes"))
+    ranked = met.join(common, "v").groupBy("k", "s").agg(F.sort_array(F.collect_list(F.struct("nodes", "v"))).alias("r"), F.max("need").alias("need"))
+    prefix = ranked.where("size(r) >= need").select("k", F.explode(F.expr("slice(r, 1, size(r) - need + 1)")).alias("r")).select("r.v", "k")
+    met = written(prefix.distinct(), "prefix")
     # A route's nodes meet under the one of them with the most routes, so that a group has few names and its sets are sent few times.
-    met = met.join(enough, ["k", "s"]).select("v", "k", "c")
+    met = met.join(met.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "k")
     roots = met.groupBy("v").agg(F.max(F.struct("c", "k")).alias("most"), F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("v", F.col("most.k").alias("root"))
     groups = written(met.join(roots, "v").select("root", "k").distinct(), "groups")
     reps = nodes.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     chosen = written(groups.select("k").distinct().join(reps, "k"), "chosen")
-    id_map = _bit_map(chosen.select(F.xxhash64("rep").alias("v")), MAP_BITS)
+    id_map = bit_map(chosen.select(F.xxhash64("rep").alias("v")), MAP_BITS)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = _in_map(id_map, b.column("v").to_numpy())
+            hit = in_map(id_map, b.column("v").to_numpy())
             for part in slices(iter([b.filter(pa.array(hit))]), "text", 4 << 20):
                 code, at = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(code, at).view(np.int64)), binary_array(code.view(np.uint8), at * 8)], ["s", "codes"])
