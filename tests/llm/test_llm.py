@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from actiscope.llm import flac, gru, jaccard, langid, mix, pieces, quality, tokens, topk, warc
@@ -22,14 +23,14 @@ from oracle import same
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id long, text string, lang string, source string, id string, n long, k string, kept_0 int, rows int"
+SCHEMA = "doc_id long, text string, lang string, source string, id string, n long, k string, kept_0 int, rows int, M_Position int, place int, size int, key int, first_id int"
 LONG = "the quick brown fox " * 6000
 
 
 def rows():
     base = "the cat sat on the mat and then it ran away from the dog in the yard"
     r = [(1, base), (2, base), (3, base.upper()), (4, base + " today"), (5, ""), (6, None), (7, "one"), (8, "ONE"), (9, "a  b\t\n　c \U0001f600 é"), (10, LONG), (None, base), (None, None), (11, "!!! 123 ..."), (11, "!!! 123 ..."), (12, "x y"), (13, "   \n ")]
-    return [(i, t, "en" if i and i % 3 else None, f"s{(i or 0) % 3}" if i != 4 else None, "clash", 5, "k", 1, 2) for i, t in r]
+    return [(i, t, "en" if i and i % 3 else None, f"s{(i or 0) % 3}" if i != 4 else None, "clash", 5, "k", 1, 2, 3, 4, 5, 6, 7) for i, t in r]
 
 
 @pytest.fixture(scope="module")
@@ -98,27 +99,99 @@ def test_lm(spark, docs, none):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got) and {r.train_tokens for r in got} == {n}
 
 
+def naive_likelihood(net, units):
+    """A text's log-probability, one token after the other, by the formulas."""
+    w, h, before, total = {k: v.astype(float) for k, v in net.w.items()}, np.zeros(gru.HIDDEN), gru.END, 0.0
+    for unit in [*units, gru.END]:
+        a, hu = (w["emb"][before] @ w["wx"] + w["b"]).reshape(3, -1), (h @ w["u"]).reshape(3, -1)
+        r, z = 1 / (1 + np.exp(-(a[:2] + hu[:2])))
+        h = z * h + (1 - z) * np.tanh(a[2] + r * hu[2])
+        k, i = divmod(int(unit), gru.WITHIN)
+        for logits, target in ((h @ w["wo"] + w["bo"], k), (h @ w["wi"][k] + w["bi"][k], i)):
+            total += logits[target] - np.log(np.exp(logits).sum())
+        before = int(unit)
+    return total
+
+
+def random_network(seed):
+    net = gru.Network(seed=seed)
+    net.flat[:] += np.random.default_rng(seed).standard_normal(net.flat.shape).astype(np.float32) * 0.3
+    return net
+
+
 def test_lm_gradient_and_lanes():
-    net = gru.Network(seed=1)
+    net = random_network(1)
     rng = np.random.default_rng(0)
-    x, y = rng.integers(0, gru.CLASSES, (4, 3)), rng.integers(0, gru.CLASSES, (4, 3))
-    fresh, live, h = np.zeros((4, 3), bool), np.ones((4, 3), bool), rng.standard_normal((3, gru.HIDDEN)).astype(np.float32)
-    fresh[2, 1] = True
+    x, y = rng.integers(0, gru.UNITS, (4, 3)), rng.integers(0, gru.UNITS, (4, 3))
+    fresh, live, h = np.zeros((4, 3), bool), np.ones((4, 3), bool), rng.standard_normal((gru.HIDDEN, 3)).astype(np.float32)
+    fresh[2, 1], live[3, 2] = True, False
     g, _ = net.gradient(x, y, fresh, live, h)
 
     def loss(flat):
         m = gru.Network(flat)
-        return -m.log_probs(m.steps(x, fresh, h, False)[0], y)[0].mean()
+        states = m.steps(x, fresh, h, False)[0].transpose(1, 0, 2).reshape(gru.HIDDEN, -1)
+        return -m.log_probs(states, y.reshape(-1))[live.reshape(-1)].mean()
 
-    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-3), 12):
+    big = np.flatnonzero(np.abs(g) > 1e-2)
+    at = np.r_[0, np.cumsum([int(np.prod(v)) for v in gru.Network.SHAPES.values()])]
+    for i in [int(rng.choice(big[(big >= a) & (big < b)])) for a, b in itertools.pairwise(at) if ((big >= a) & (big < b)).any() for _ in range(3)]:
         up, down = net.flat.copy(), net.flat.copy()
         up[i] += 1e-2
         down[i] -= 1e-2
-        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[i], rel=0.1, abs=3e-4)
-    lens = np.array([3, 0, 200, 7])
-    cls = rng.integers(1, gru.CLASSES, lens.sum())
-    alone = [gru.likelihood(net, cls[a:b], np.array([b - a]))[0] for a, b in itertools.pairwise([0, *np.cumsum(lens)])]
-    assert gru.likelihood(net, cls, lens) == pytest.approx(alone, rel=1e-4)
+        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[i], rel=0.1, abs=1e-3)
+    lens = np.array([3, 0, 200, 7, 1500])
+    units = rng.integers(1, gru.UNITS, lens.sum())
+    alone = [naive_likelihood(net, units[a:b]) for a, b in itertools.pairwise([0, *np.cumsum(lens)])]
+    assert gru.likelihood(net, units, lens) == pytest.approx(alone, rel=1e-4)
+
+
+def test_lm_pieces_and_stretches():
+    rows = pa.table({"text": ["abcd" * 5, None, "x" * 30, "y", "z" * 3, "w" * 9], "b": [0, 0, 0, 2, 2, 5]})
+    want = [(0, 0, 3), (2, 0, 2), (5, 0, 1)]
+    cut = [(0, 0, 1), (0, 1, 2), (2, 0, 2), (5, 0, 1)]
+    for step in (1, 2, 6):
+        assert [(int(b), n, r.num_rows) for b, n, r in gru.pieces(iter(rows.to_batches(step)), 1000)] == want
+        assert [(int(b), n, r.num_rows) for b, n, r in gru.pieces(iter(rows.to_batches(step)), 20)] == cut
+    units, size, whole = gru.stretches(np.arange(25), np.array([10, 0, 15]), 6, 1)
+    assert size.tolist() == [5, 5, 0, 5, 5, 5] and whole.tolist() == [False, True, True, False, False, True] and len(units) == 25
+    units, size, whole = gru.stretches(np.arange(25), np.array([10, 0, 15]), 6, 3)
+    assert size.tolist() == [5, 5] and units.tolist() == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(gru, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(gru, "HEAD", 50)
+    one, many = ({r.doc_id: r for r in gru.score(d.repartition(n)).collect()} for n in (1, 7))
+    assert one == many and len(one) == d.count()
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+
+
+def test_lm_score_by_hand(spark, monkeypatch):
+    """The whole score of each text from a known network: its units and the counts inside shared units."""
+    net = random_network(4)
+    monkeypatch.setattr(gru, "fit", lambda *_: net)
+    monkeypatch.setattr(gru, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(gru, "HEAD", 200)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in d.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    c = collections.Counter(w for i, t in texts.items() if not held[i] for w in t)
+    h = lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 64 if xxhash.xxh3_64_intdigest(w) >> 63 else 0)
+    top = sorted(sorted(c, key=lambda w: (-c[w], h(w)))[: gru.FIRST_SHARED - 1], key=h)
+    place = {w: 1 + i for i, w in enumerate(top)}
+    shared = dict(zip(words := sorted({w for t in texts.values() for w in t}), gru.hashes(pa.array([w.decode() for w in words]))[1].tolist(), strict=True))
+    mass = collections.Counter()
+    for w in c:
+        if w not in place:
+            mass[shared[w]] += c[w] + 0.1
+    for r in gru.score(d).collect():
+        t = texts[r.doc_id]
+        if len(t) < 300:
+            want = naive_likelihood(net, [place.get(w, shared[w]) for w in t]) / math.log(10)
+            want += sum(math.log10((c[w] + 0.1) / (mass[shared[w]] + 0.1)) for w in t if w not in place)
+            assert r.score == pytest.approx(want, rel=1e-4)
 
 
 def brute_groups(texts, ids, words, num, den):
@@ -295,3 +368,96 @@ def test_pipeline(spark, none):
     kept = corpus_pipeline.deduplicated(spark, odd, SF).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and {1, 4, 5, 6, 7} - set(ids) <= {4} and not {2, 3, 8} & set(ids)
+
+
+def test_near_threshold_pairs_are_all_linked(spark):
+    """Pairs of 12 and 11 words, 10 and 9 shingles, share just as many routes as they must: none may be lost."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(4000):
+        w = [f"p{i}x{j}" for j in rng.integers(0, 10**9, 12)]
+        texts += [" ".join(w), " ".join(w[:-1] if i % 2 else w[1:])]
+    got = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.where("component_id = doc_id").count() == 4000 and got.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
+def test_read_backs_are_spread(spark, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    d = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 20) AS text").repartition(12)
+    files = tokens.write_ids(d, BPE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1 and tokens.read_ids(files).rdd.getNumPartitions() == files.count()
+    archives = warc.write_archives(d.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html").repartition(9))
+    assert archives.count() > 1 and warc.read_archives(archives).rdd.getNumPartitions() == archives.count()
+
+
+def test_language_fit_is_bounded(spark, monkeypatch):
+    """Rows without an id, or that repeat, don't multiply what the driver learns from."""
+    learned = []
+    real = langid.descend
+    monkeypatch.setattr(langid, "descend", lambda rows, *a, **k: learned.append(len(rows)) or real(rows, *a, **{**k, "epochs": 1}))
+    d = spark.range(6000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('wort zahl ', id) AS text", "'de' AS lang")
+    d = d.unionByName(spark.range(5000).selectExpr("7L AS doc_id", "'the same words' AS text", "'en' AS lang"))
+    model = langid.fit(d, per_lang=200)
+    assert model.langs == ["de", "en"] and 100 <= learned[0] <= 200
+
+
+def test_other_warc_records():
+    def member(head, block):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n") + z.flush()
+
+    info = member(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:a>\r\n", b"software: x\r\n")
+    request = member(b"WARC-Type: request\r\nWARC-Record-ID: <urn:b>\r\nContent-Type: application/http;msgtype=request\r\n", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+    got = list(warc.read(io.BytesIO(info + request + warc.record("urn:c", None, b"abc"))))
+    assert [(r.kind, r.payload, r.size) for r in got] == [("warcinfo", b"software: x\r\n", 13), ("request", b"", 0), ("response", b"abc", 3)]
+    for bad in (member(b"WARC-Type: warcinfo\r\n", b"x"), member(b"WARC-Type: response\r\nWARC-Record-ID: <u>\r\nContent-Type: application/http\r\n", b"no head")):
+        with pytest.raises(ValueError):
+            list(warc.read(io.BytesIO(bad)))
+
+
+def test_quality_score_by_formula(spark):
+    """The whole discriminant again, from the statistics of all labelled rows at once."""
+    d, l = (spark.read.parquet(f"{SF}/{n}.parquet").toPandas() for n in ("documents", "labels"))
+    x = quality.statistics(*utf8(pa.array(d.text)))
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in d.doc_id])
+    label = d.doc_id.map(dict(zip(l.doc_id, l.quality, strict=True)))
+    use = label.notna().to_numpy() & (fold != 1)
+    t, y = x[use], label[use].astype(int).to_numpy()
+    mean, spread = t.mean(0), np.sqrt(np.maximum(t.var(0), 1e-9))
+    z = (t - mean) / spread
+    cov = {k: np.cov(z[y == k].T, bias=True) for k in (0, 1)}
+    within = sum(cov[k] * (y == k).mean() for k in (0, 1))
+    log_density = {}
+    for k in (0, 1):
+        share = max(0.2, quality.D / (quality.D + (y == k).sum()))
+        c = (1 - share) * cov[k] + share * within
+        c = 0.98 * c + 0.02 * np.eye(quality.D) * np.trace(c) / quality.D + 1e-9 * np.eye(quality.D)
+        gap = (x - mean) / spread - z[y == k].mean(0)
+        log_density[k] = np.log((y == k).mean()) - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(c), gap) - 0.5 * np.linalg.slogdet(c)[1]
+    want = 1 / (1 + np.exp(-np.clip((log_density[1] - log_density[0]) / quality.TEMPERATURE, -500, 500)))
+    got = quality.query(spark, SF).toPandas().set_index("doc_id").score[d.doc_id].to_numpy()
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_language_scores_by_windows(spark):
+    """Every text's probabilities again, window by window, from the fitted table."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(d)
+    got = {r.doc_id: r for r in langid.identify(d, model).collect()}
+    for r in d.limit(40).collect():
+        raw = bytes(langid.FOLDED[np.frombuffer((r.text or "").encode(), np.uint8)])
+        buf = b"    " + raw + b"     "
+        rows = []
+        for i in range(3, 4 + len(raw)):
+            a, b, c, e = buf[i : i + 4]
+            three = a | b << 8 | c << 16
+            if b != 32 and (c != 32 or a != 32 or True):
+                rows += [((three * 2246822519) & 0xFFFFFFFF) >> 17]
+                if c != 32 or a != 32:
+                    rows += [(((three | e << 24) * 2654435761) & 0xFFFFFFFF) >> 17]
+        z = (np.sum([model.rows[i].astype(float) for i in rows], 0) / max(1, len(rows)) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if got[r.doc_id].lang_pred != "und":
+            assert got[r.doc_id].score == pytest.approx(p.max(), abs=1e-4) and got[r.doc_id].lang_pred == model.langs[int(p.argmax())]
