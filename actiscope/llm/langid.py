@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES // 2):
             p = model.probabilities(model.logits(*utf8(b.column("text"))))
             lang = pa.array(model.langs).take(pa.array(p.argmax(1)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("letter"), lang.cast(pa.string()), pa.array(p.max(1))], ["id", "letter", "lang", "p"])
