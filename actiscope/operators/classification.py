@@ -35,10 +35,12 @@ def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def sweep(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """One row per distinct score as threshold (score >= threshold is positive), with counts and rates."""
+    """One row per distinct score as threshold (score >= threshold is positive), with counts and rates, and one above all that predicts nothing."""
     g = by_score(df, y, score)
     every = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     s = running(g.withColumn("neg_score", -F.col("score")), ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")}).withColumnRenamed("score", "threshold").join(F.broadcast(every))  # one row
+    nothing = every.where("p + q > 0").select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "p", "q")
+    s = s.select("threshold", "tp", "fp", "p", "q").unionByName(nothing)
     s = s.select("threshold", "tp", "fp", (F.col("q") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"))
     return s.select("*", *[c.alias(k) for k, c in rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")).items()])
 
@@ -68,19 +70,23 @@ def enrichment(df: DataFrame, y: str = "y", score: str = "score", idx: str = "id
     g = d.groupBy("n", "a").agg(F.count_if(F.col("r") <= top).alias("hits"), F.sum(F.exp(-alpha * F.col("r") / F.col("n"))).alias("s"))
     ra = F.col("a") / F.col("n")
     expected = ra * (1 - F.exp(F.lit(-alpha))) / (F.exp(alpha / F.col("n")) - 1)
-    scale = ra * F.sinh(F.lit(alpha / 2)) / (F.cosh(F.lit(alpha / 2)) - F.cosh(alpha / 2 - alpha * ra))
+    scale = F.try_divide(ra * F.sinh(F.lit(alpha / 2)), F.cosh(F.lit(alpha / 2)) - F.cosh(alpha / 2 - alpha * ra))
     rie = F.col("s") / expected
-    return g.select(((F.col("hits") / top) / ra).alias("ef"), rie.alias("rie"), (rie * scale + 1 / (1 - F.exp(alpha * (1 - ra)))).alias("bedroc"))
+    # Without a negative the bounded form isn't defined; the other two are.
+    bedroc = F.when(F.col("a") < F.col("n"), rie * scale + F.try_divide(F.lit(1.0), 1 - F.exp(alpha * (1 - ra))))
+    return g.select(((F.col("hits") / top) / ra).alias("ef"), rie.alias("rie"), bedroc.alias("bedroc"))
 
 
 def calibration(df: DataFrame, y: str = "y", prob: str = "score", bins: int = 10) -> DataFrame:
-    """bin, mean_prob, rate, count of uniform bins, the last one closed; empty bins are left out."""
+    """bin, mean_prob, rate, count of uniform bins, the last one closed; empty bins and rows without a score or label are left out."""
+    df = df.where(F.col(prob).isNotNull() & F.col(y).isNotNull())
     b = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1)).cast("int")
     return df.groupBy(b.alias("bin")).agg(F.avg(prob).alias("mean_prob"), F.avg(F.col(y).cast("double")).alias("rate"), F.count(F.lit(1)).alias("count"))
 
 
 def calibration_report(df: DataFrame, y: str = "y", prob: str = "score", bins: int = 10) -> DataFrame:
-    """ece, mce, brier, base_rate, skill and n."""
+    """ece, mce, brier, base_rate, skill and n, of rows with a score and a label."""
+    df = df.where(F.col(prob).isNotNull() & F.col(y).isNotNull())
     c = calibration(df, y, prob, bins).withColumn("gap", F.abs(F.col("rate") - F.col("mean_prob")))
     e = c.agg((F.sum(F.col("gap") * F.col("count")) / F.sum("count")).alias("ece"), F.max("gap").alias("mce"))
     o = df.agg(F.avg(square(F.col(prob) - F.col(y))).alias("brier"), F.avg(F.col(y).cast("double")).alias("base_rate"), F.count(F.lit(1)).alias("n"))

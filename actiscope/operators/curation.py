@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .ranking import quantiles
 
 
 def duplicate_groups(df: DataFrame, key: str, idx: str, value: str, tolerance: float = 1.0) -> DataFrame:
@@ -49,12 +50,13 @@ def outlier_scores(df: DataFrame, value: str, method: str = "modified_zscore") -
         s = df.agg(F.avg(v).alias("o_m"), F.stddev_samp(v).alias("o_s"))
         score = ratio(F.abs(v - F.col("o_m")), F.col("o_s"), 0)
     elif method == "modified_zscore":
-        m = df.agg(F.percentile(v, F.lit(0.5)).alias("o_m"))
-        s = df.join(F.broadcast(m)).groupBy("o_m").agg(F.percentile(F.abs(v - F.col("o_m")), F.lit(0.5)).alias("o_s"), F.avg(F.abs(v - F.col("o_m"))).alias("o_a"))
+        m = quantiles(df.select(v.alias("v")), "v", {"o_m": 0.5})
+        far = df.join(F.broadcast(m)).select("o_m", F.abs(v - F.col("o_m")).alias("far"))
+        s = far.groupBy("o_m").agg(F.avg("far").alias("o_a")).join(F.broadcast(quantiles(far, "far", {"o_s": 0.5})))  # one row each
         far = F.abs(v - F.col("o_m"))
         score = F.when(F.col("o_s") > 0, 0.6745 * far / F.col("o_s")).otherwise(ratio(far, 1.253314 * F.col("o_a"), 0))
     elif method == "iqr":
-        s = df.agg(F.percentile(v, F.lit(0.25)).alias("o_m"), F.percentile(v, F.lit(0.75)).alias("o_s"))
+        s = quantiles(df.select(v.alias("v")), "v", {"o_m": 0.25, "o_s": 0.75})
         score = ratio(F.greatest(F.col("o_m") - v, v - F.col("o_s"), F.lit(0.0)), F.col("o_s") - F.col("o_m"), 0)
     else:
         raise ValueError(f"no method {method}")
@@ -64,7 +66,8 @@ def outlier_scores(df: DataFrame, value: str, method: str = "modified_zscore") -
 def units_check(df: DataFrame, value: str) -> DataFrame:
     """Counts and range of the activities, and whether they look like logarithms."""
     v = F.col(value)
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), F.count_if(v <= 0).alias("non_positive"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(F.when(v > 0, v)).alias("low"))
+    a = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), F.count_if(v <= 0).alias("non_positive"), F.min(v).alias("min"), F.max(v).alias("max"), F.min(F.when(v > 0, v)).alias("low"))
+    a = a.join(F.broadcast(quantiles(df.select(v.alias("v")), "v", {"median": 0.5})))  # one row each
     return a.select("n", "missing", "non_positive", "min", "max", "median", F.log10(F.col("max") / F.col("low")).alias("log_range"), ((F.col("min") >= -2) & (F.col("max") <= 15)).alias("looks_logarithmic"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import square
-from .ranking import ranked, running
+from .ranking import quantiles, ranked, running
 
 
 def _long(df: DataFrame, idx: str, vec: str) -> DataFrame:
@@ -35,7 +35,7 @@ def centroid_distance(train: DataFrame, df: DataFrame, idx: str, vec: str) -> Da
 
 def distance_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, percentile: float = 0.95) -> DataFrame:
     """idx, distance, inside: within the training distances' percentile of the centroid."""
-    limit = centroid_distance(train, train, idx, vec).agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
+    limit = quantiles(centroid_distance(train, train, idx, vec), "distance", {"limit": percentile})
     return centroid_distance(train, df, idx, vec).join(F.broadcast(limit)).select(idx, "distance", (F.col("distance") <= F.col("limit")).alias("inside"))
 
 
@@ -62,13 +62,13 @@ def conformal_interval(calibration: DataFrame, df: DataFrame, y: str, p: str, al
 
 
 def ence(df: DataFrame, idx: str, y: str, p: str, sigma: str, bins: int = 10) -> DataFrame:
-    """Expected normalised calibration error over bins of equal size in order of sigma."""
+    """Expected normalised calibration error over bins of equal size in order of sigma; bins without spread have no part."""
     n = df.agg(F.count(F.lit(1)).alias("e_n"))
     r = ranked(df, [sigma, idx], "e_r").join(F.broadcast(n))  # one row
     low, more = F.floor(F.col("e_n") / bins), F.col("e_n") % bins
     b = r.withColumn("b", F.when(F.col("e_r") <= more * (low + 1), F.floor((F.col("e_r") - 1) / (low + 1))).otherwise(more + F.floor((F.col("e_r") - 1 - more * (low + 1)) / F.greatest(low, F.lit(1)))))
     g = b.groupBy("b").agg(F.avg(sigma).alias("s"), F.sqrt(F.avg(square(F.col(y) - F.col(p)))).alias("r"))
-    return g.agg(F.avg(F.abs(F.col("s") - F.col("r")) / F.col("s")).alias("ence"))
+    return g.agg(F.avg(F.try_divide(F.abs(F.col("s") - F.col("r")), F.col("s"))).alias("ence"))
 
 
 def accuracy_by_coverage(df: DataFrame, score: str, idx: str, y: str, p: str, points: int = 20) -> DataFrame:

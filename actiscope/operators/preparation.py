@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .domain import _long
+from .ranking import quantiles
 
 
 def column_statistics(df: DataFrame, idx: str, vec: str) -> DataFrame:
@@ -31,7 +32,13 @@ def variance_filter(df: DataFrame, idx: str, vec: str, least: float) -> DataFram
 def impute(df: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:
     """Null, NaN and infinite values of the columns become the column's mean or median."""
     clean = {c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)) for c in columns}
-    fill = df.agg(*[(F.avg(x) if strategy == "mean" else F.percentile(x, F.lit(0.5))).alias(f"fill_{c}") for c, x in clean.items()])
+    if strategy == "mean":
+        fill = df.agg(*[F.avg(x).alias(f"fill_{c}") for c, x in clean.items()])
+    else:
+        fill = None
+        for c, x in clean.items():
+            one = quantiles(df.select(x.alias("x")), "x", {f"fill_{c}": 0.5})
+            fill = one if fill is None else fill.join(F.broadcast(one))  # one row each
     return df.join(F.broadcast(fill)).withColumns({c: F.coalesce(x, F.col(f"fill_{c}")) for c, x in clean.items()}).select(*df.columns)
 
 

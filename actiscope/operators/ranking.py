@@ -59,6 +59,22 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     return running(df, order, {name: F.lit(1).cast("long")})
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row: the exact quantiles of a column under the given names, between two values in proportion; null values don't count.
+
+    Distinct values are counted and ranked in ranges; no task holds them all.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("q_v")).agg(F.count(F.lit(1)).alias("q_c"))
+    upto = running(counts, ["q_v"], {"q_u": F.col("q_c")})
+    n = counts.agg(F.sum("q_c").alias("q_n"))
+    j = upto.join(F.broadcast(n))  # one row
+    place = lambda q: (F.col("q_n") - 1) * F.lit(float(q))
+    ends = [F.min(F.when(F.col("q_u") > f(place(q)), F.col("q_v"))).alias(f"q_{i}_{side}") for i, q in enumerate(at.values()) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = j.agg(F.max("q_n").alias("q_n"), *ends)
+    part = lambda i, q: F.col(f"q_{i}_lo") + (place(q) - F.floor(place(q))) * (F.col(f"q_{i}_hi") - F.col(f"q_{i}_lo"))
+    return got.select(*[part(i, q).alias(name) for i, (name, q) in enumerate(at.items())])
+
+
 def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """The rows with the rank of a value, the mean of its ranks if it is repeated; null for null values. Only distinct values are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("m_v")).agg(F.count(F.lit(1)).alias("m_c"))

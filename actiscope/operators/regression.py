@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, square
+from .ranking import quantiles
 
 
 def report(df: DataFrame, y: str = "y_true", p: str = "y_pred", by: list[str] | None = None, q2: float | None = None) -> DataFrame:
@@ -18,14 +19,20 @@ def report(df: DataFrame, y: str = "y_true", p: str = "y_pred", by: list[str] |
     agg = [F.count(F.lit(1)).alias("n"), F.sum(square(t - e)).alias("press"), F.avg(F.abs(t - e)).alias("mae"), F.percentile(F.abs(t - e), F.lit(0.5)).alias("median_ae"),
            F.avg(e - t).alias("bias"), F.avg(t).alias("mt"), F.avg(e).alias("mp"), F.var_pop(t).alias("vt"), F.var_pop(e).alias("vp"), F.covar_pop(t, e).alias("cov"),
            F.sum(t * e).alias("tp"), F.sum(t * t).alias("tt"), F.sum(e * e).alias("pp")]
+    if not by:  # a whole table's median comes from ranks in ranges: a percentile would hold all distinct errors in one task
+        agg = [x for i, x in enumerate(agg) if i != 3]
     a = d.groupBy(*(by or [])).agg(*agg).where("n > 0")
+    if not by:
+        a = a.join(F.broadcast(quantiles(d.select(F.abs(t - e).alias("error")), "error", {"median_ae": 0.5})))  # one row each
     c = F.col
     a = a.withColumn("mse", c("press") / c("n")).withColumn("rmse", F.sqrt("mse")).withColumn("r2", 1 - ratio(c("press"), c("vt") * c("n")))
     a = a.withColumn("ccc", ratio(2 * c("cov"), c("vt") + c("vp") + square(c("mt") - c("mp")), 1.0))
     a = a.withColumn("k", ratio(c("tp"), c("tt"))).withColumn("k_prime", ratio(c("tp"), c("pp")))
     a = a.withColumn("corr2", ratio(square(c("cov")), c("vt") * c("vp")))
-    a = a.withColumn("r02", 1 - ratio(c("pp") - 2 * c("k") * c("tp") + square(c("k")) * c("tt"), c("vp") * c("n")))
-    a = a.withColumn("r02_prime", 1 - ratio(c("tt") - 2 * c("k_prime") * c("tp") + square(c("k_prime")) * c("pp"), c("vt") * c("n")))
+    # Sums of squares about a line through the origin, from centred moments: raw sums lose digits where the mean is large.
+    left = lambda own, other, cov, m_own, m_other, k: own - 2 * k * cov + square(k) * other + square(m_own - k * m_other)
+    a = a.withColumn("r02", 1 - ratio(left(c("vp"), c("vt"), c("cov"), c("mp"), c("mt"), c("k")), c("vp")))
+    a = a.withColumn("r02_prime", 1 - ratio(left(c("vt"), c("vp"), c("cov"), c("mt"), c("mp"), c("k_prime")), c("vt")))
     a = a.withColumn("r2m", c("corr2") * (1 - F.sqrt(F.abs(c("corr2") - c("r02"))))).withColumn("r2m_prime", c("corr2") * (1 - F.sqrt(F.abs(c("corr2") - c("r02_prime")))))
     a = a.withColumn("average_r2m", (c("r2m") + c("r2m_prime")) / 2).withColumn("delta_r2m", F.abs(c("r2m") - c("r2m_prime")))
     near = (c("k").between(0.85, 1.15) & (ratio(c("corr2") - c("r02"), c("corr2")) < 0.1)) | (c("k_prime").between(0.85, 1.15) & (ratio(c("corr2") - c("r02_prime"), c("corr2")) < 0.1))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What rounding may take from a size bound: bounds are loosened by it, similarities themselves are exact.
+SLIP = 1e-9
+
+
 def set_bits(vec: str, above: float) -> Column:
     """Positions of a vector's components above a value, as an ascending array of set bits."""
     x = F.transform(F.col(vec).cast("array<double>"), lambda v, i: F.when(v > above, i))
@@ -20,7 +24,7 @@ def _common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
-    """a_id < b_id, similarity of all pairs at the threshold or above.
+    """a_id < b_id, similarity of all pairs at the threshold or above; two empty sets have similarity 1.
 
     Prefix filter: of two sets with Jaccard >= t one of the first n - ceil(t n) + 1 bits of each, in one order of all bits, is shared;
     only those are joined, rarest bits first, and candidates are verified on their arrays.
@@ -28,21 +32,34 @@ def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
     rare = fp.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
     ordered = fp.select("id", F.size("bits").alias("n"), F.explode("bits").alias("bit")).join(F.broadcast(rare), "bit")  # a row per bit position
     w = Window.partitionBy("id").orderBy("df", "bit")
-    prefix = ordered.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "bit")
+    prefix = ordered.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - SLIP) + 1).select("id", "n", "bit")
     a = prefix.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), "bit")
     b = prefix.select(F.col("id").alias("b_id"), F.col("n").alias("b_n"), "bit")
-    size = (F.col("b_n") >= F.col("a_n") * threshold) & (F.col("a_n") >= F.col("b_n") * threshold)
+    size = (F.col("b_n") >= F.col("a_n") * threshold - SLIP) & (F.col("a_n") >= F.col("b_n") * threshold - SLIP)
     pairs = a.join(b, "bit").where((F.col("a_id") < F.col("b_id")) & size).select("a_id", "b_id").distinct()
     bits = lambda p: fp.select(F.col("id").alias(f"{p}_id"), F.col("bits").alias(f"{p}_bits"))
     v = pairs.join(bits("a"), "a_id").join(bits("b"), "b_id")
     c = F.size(F.array_intersect("a_bits", "b_bits"))
     s = c / (F.size("a_bits") + F.size("b_bits") - c)
-    return v.select("a_id", "b_id", s.alias("similarity")).where(F.col("similarity") >= threshold)
+    found = v.select("a_id", "b_id", s.alias("similarity")).where(F.col("similarity") >= threshold)
+    bare = lambda p: fp.where(F.size("bits") == 0).select(F.col("id").alias(f"{p}_id"), F.lit(0).alias("n"))
+    return found.unionByName(bare("a").join(bare("b"), "n").where("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("similarity")))
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, ref_id, similarity of the k most similar others that share a bit, ties by id."""
-    c = _common(queries, refs).where("a_id <> b_id").withColumn("similarity", F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c")))
+    """query_id, rank, ref_id, similarity of the k most similar others (all, if fewer), ties by id.
+
+    Others that share no bit have similarity 0, of which only the k + 1 smallest ids can count; two empty sets have 1, and of those the
+    same holds: both come from a broadcast of k + 1 rows, so only pairs with a shared bit are joined.
+    """
+    c = _common(queries, refs).where("a_id <> b_id").withColumn("similarity", F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).select("a_id", "b_id", "similarity")
+    q = queries.select(F.col("id").alias("a_id"), (F.size("bits") == 0).alias("bare"))
+    low = lambda rows, s: rows.select(F.col("id").alias("b_id"), F.lit(s).alias("similarity")).orderBy("b_id").limit(k + 1)
+    twins = q.where("bare").join(F.broadcast(low(refs.where(F.size("bits") == 0), 1.0))).where("a_id <> b_id").select("a_id", "b_id", "similarity")
+    c = c.unionByName(twins)
+    few = q.join(c.groupBy(F.col("a_id").alias("few_id")).agg(F.count(F.lit(1)).alias("met")), F.col("a_id") == F.col("few_id"), "left").where(F.coalesce("met", F.lit(0)) < k)
+    far = few.select("a_id").join(F.broadcast(low(refs, 0.0))).where("a_id <> b_id").select("a_id", "b_id", "similarity")
+    c = c.unionByName(far).groupBy("a_id", "b_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a_id").alias("query_id"), "rank", F.col("b_id").alias("ref_id"), "similarity")
 
@@ -53,6 +70,13 @@ def similar_any(fp: DataFrame) -> DataFrame:
     return _common(fp, fp).where("a_id < b_id").select("a_id", "b_id", (c / (F.col("a_n") + F.col("b_n") - c)).alias("similarity"))
 
 
+def min_max(a: Column, b: Column) -> Column:
+    """Similarity of two count vectors: the sum of the lesser counts over that of the greater ones; 1 for two empty ones."""
+    both = F.zip_with(a, b, lambda x, y: F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")))
+    total = lambda f: F.aggregate(F.transform(both, lambda p: p[f].cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.coalesce(F.try_divide(total("lo"), total("hi")), F.lit(1.0))
+
+
 def cliffs(pairs: DataFrame, values: DataFrame, least_delta: float) -> DataFrame:
     """Similar pairs whose activities differ: a_id, b_id, similarity, delta, sali (null for identical fingerprints). values: id, value."""
     v = lambda p: values.select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"))

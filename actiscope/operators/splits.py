@@ -46,7 +46,8 @@ def folds(df: DataFrame, idx: str, k: int = 5, seed: int = 0) -> DataFrame:
 
 def sampled(df: DataFrame, idx: str, n: int, seed: int = 0) -> DataFrame:
     """n rows (all, if fewer) without replacement, those of the smallest hashes."""
-    return df.withColumns({"s_h": shuffled(idx, seed)}).orderBy("s_h", idx).limit(n).select(*df.columns)
+    r = ranked(df.withColumns({"s_h": shuffled(idx, seed), "s_i": F.col(idx)}), ["s_h", "s_i"], "s_r")
+    return r.where(F.col("s_r") <= n).select(*df.columns)
 
 
 def balanced(df: DataFrame, label: str, idx: str, seed: int = 0) -> DataFrame:

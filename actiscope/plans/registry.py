@@ -104,7 +104,7 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SWEEP = f"""{SCORED}, g AS (SELECT score, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM s GROUP BY score),
-c AS (SELECT score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(neg) FROM g) - sum(neg) OVER w AS tn, (SELECT sum(pos) FROM g) - sum(pos) OVER w AS fn FROM g WINDOW w AS (ORDER BY score DESC)), {_DERIVED}"""
+c AS (SELECT score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(neg) FROM g) - sum(neg) OVER w AS tn, (SELECT sum(pos) FROM g) - sum(pos) OVER w AS fn FROM g WINDOW w AS (ORDER BY score DESC) UNION ALL SELECT 'inf'::DOUBLE, 0, 0, sum(neg), sum(pos) FROM g), {_DERIVED}"""
 
 
 @query(f"WITH {_SWEEP} SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, {_RATES} FROM d")
@@ -304,12 +304,12 @@ def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The large components of each vector as set bits; vectors without any have no fingerprint."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.set_bits("embedding", 0.15).alias("bits"), "label").where(F.size("bits") > 0)
+    """The large components of each vector as set bits, none for some."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.set_bits("embedding", 0.15).alias("bits"), "label")
 
 
-_FP = "f AS (SELECT vec_id AS id, label, [i - 1 for i in range(1, len(embedding) + 1) if embedding[i]::DOUBLE > 0.15] AS bits FROM embeddings), fp AS (SELECT * FROM f WHERE len(bits) > 0)"
-_SIM = f"{_FP}, j AS (SELECT a.id AS a_id, b.id AS b_id, a.label AS a_label, b.label AS b_label, len(list_intersect(a.bits, b.bits)) AS c, len(a.bits) AS a_n, len(b.bits) AS b_n FROM fp a JOIN fp b ON a.id <> b.id), s AS (SELECT *, c / (a_n + b_n - c) AS similarity FROM j WHERE c > 0)"
+_FP = "f AS (SELECT vec_id AS id, label, [i - 1 for i in range(1, len(embedding) + 1) if embedding[i]::DOUBLE > 0.15] AS bits FROM embeddings), fp AS (SELECT * FROM f)"
+_SIM = f"{_FP}, j AS (SELECT a.id AS a_id, b.id AS b_id, a.label AS a_label, b.label AS b_label, len(list_intersect(a.bits, b.bits)) AS c, len(a.bits) AS a_n, len(b.bits) AS b_n FROM fp a JOIN fp b ON a.id <> b.id), s AS (SELECT *, coalesce(c / nullif(a_n + b_n - c, 0), 1) AS similarity FROM j)"
 
 
 @query(f"WITH {_SIM} SELECT a_id, b_id, round(similarity, 6) AS similarity FROM s WHERE a_id < b_id AND similarity >= 0.5")
