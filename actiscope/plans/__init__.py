@@ -1,4 +1,6 @@
 """Queries by name."""
 
+from . import chemistry as chemistry
 from . import extended as extended
 from . import landscapes as landscapes
+from . import modelling as modelling
