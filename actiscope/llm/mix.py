@@ -2,33 +2,36 @@
 
 Every source has a weight schedule w(t) = w * (1 + g * (2t - 1)) over training time t in 0..1.  Its integral is w, so the
 targets don't depend on g; the integral up to t, as a share, is F(t) = (1 - g) t + g t^2.  A source's stream runs through
-its documents in the order of md5(id), as often as the target asks; a copy whose middle lies at share y of the stream is wanted
+its documents in the order of a hash of their ids, as often as the target asks; a copy whose middle lies at share y of the stream is wanted
 at the time F^-1(y), its training position.  Documents are range-sorted by position.
 
 Targets: all sources share budget * (all words) by weight; a target stops at max_repeat times its source's words, and the excess is
 reshared by weight among the others (water filling, in closed form over the sources sorted by cap / weight).
 
-Running sums are taken within (source, leading digits of the md5) and offset by sums of those buckets, so no task holds a source.
+Where a document lies in its stream: its place in 0..1 comes from md5(id).  A source's words are summed in KNOTS equal steps of the place, so
+the stream's running sum is known exactly at each knot, and is linear between two of them.  With it a row's copies and positions follow from
+the row and a table of KNOTS sums a source: no row is joined or sorted with others but for the range sort at the end, and no task holds a source.
+The words that a mix takes of a source so miss the target by the words of one step's documents at most.
 
-Defined cases: null text has size 0; null source is a source of its own, last in order; a null id takes part like the empty id.
-Documents of size 0 get as many copies as their place in the stream says, 0 words each. Rows that repeat id, source and text are one unit:
-all are taken as often. An empty table gives no rows. Other columns are ignored by `mix` and carried by `mixed`.
+Defined cases: null text has size 0; null source is a source of its own, last in order; a null id has its place from its text. Documents of size 0
+get as many copies as their place says, 0 words each. Rows that repeat an id have one place: all are taken as often. An empty table gives no
+rows. Other columns are ignored by `mix` and carried by `mixed`, whatever their names. Very long texts are one document: never cut.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, table, written
+from .base import WORD, fresh, table, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Slope g of each source's schedule, in turn: rising, level, falling.
 SLOPES = (0.5, 0.0, -0.5)
-#: Rows of a bucket of the running sum, about.
-BUCKET_ROWS = 50_000
+#: Steps in which a source's running sum of words is known exactly.
+KNOTS = 1024
+#: Rows of the table of steps that are broadcast at most, some 60 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def _cycle(values: tuple[float, ...], i: Column) -> Column:
@@ -54,53 +57,54 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - (1 - slope)) / F.when(slope == 0, F.lit(1.0)).otherwise(2 * slope))
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple:
-    """What names a unit: id, source and a hash of the text."""
-    return F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("th")
-
-
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, max_repeat: float = 2.0, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
-    """Per unit: id, source, th, rows, size, source_size, target, copies of each row, positions of those (ascending)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    units = docs.select(*_units(docs, id_col, text_col, source_col), size.alias("size"))
-    units = units.groupBy("id", "source", "th", "size").agg(F.count(F.lit(1)).alias("rows"))
-    base = written(units.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix")
-    rows = base.count()
-    digits = max(1, math.ceil(math.log(rows / BUCKET_ROWS, 16))) if rows > BUCKET_ROWS else 1
-    base = base.withColumn("bucket", F.substring("h", 1, digits)).withColumn("words", F.col("size") * F.col("rows"))
-    sources = targets(base.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_repeat, slopes)
-    buckets = base.groupBy("source", "bucket").agg(F.sum("words").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("offset", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "offset")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    run = base.withColumn("upto", F.sum("words").over(within))
-    run = run.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    run = run.join(sources.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
-    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")
-    run = run.withColumn("whole", whole).withColumn("middle", F.col("offset") + F.col("upto") - F.col("words") / 2)
-    extra = F.col("middle") < F.col("target") - F.col("whole") * F.col("source_size")
-    run = run.withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0))
-    share = lambda j: F.least(F.lit(1.0), F.coalesce(F.try_divide(j * F.col("source_size") + F.col("middle"), F.col("target")), F.lit(0.0)))
-    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda j: position(share(j), F.col("slope")))).otherwise(F.array().cast("array<double>"))
-    return run.select("id", "source", "th", "rows", "size", "source_size", "target", "copies", places.alias("positions"))
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, max_repeat: float = 2.0, slopes: tuple[float, ...] = SLOPES) -> tuple[DataFrame, list[str]]:
+    """docs and the columns size, source_size, target, copies, positions (of the copies, ascending), under the returned names."""
+    names = fresh(docs, "size", "source_size", "target", "copies", "positions", "place", "knot", "key", "k_key", "k_knot", "offset", "inside", "slope")
+    size, source_size, target, copies, positions, place, knot, key, k_key, k_knot, offset, inside, slope = names
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
+    rows = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn(place, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(2.0**32))
+    rows = rows.withColumn(knot, F.floor(F.col(place) * KNOTS).cast("int")).withColumn(key, F.col(source_col).cast("string"))
+    # KNOTS rows a source at most: the sums of the steps, folded on the map side first.
+    steps = rows.groupBy(F.col(key).alias("source"), F.col(knot).alias("step")).agg(F.sum(size).alias("words"))
+    steps = written(steps, "mix")
+    sources = targets(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_repeat, slopes)
+    upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("offset", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    steps = steps.join(sources.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
+    steps = steps.select(F.col("source").alias(k_key), F.col("step").alias(k_knot), F.col("offset").alias(offset), F.col("words").alias(inside), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("slope").alias(slope))
+    # Its size is known: up to BROADCAST_ROWS rows it is sent to every task, so that the texts stay where they are; beyond, both sides are shuffled.
+    if steps.count() <= BROADCAST_ROWS:
+        steps = F.broadcast(steps)
+    run = rows.join(steps, F.col(key).eqNullSafe(F.col(k_key)) & (F.col(knot) == F.col(k_knot)))
+    middle = F.col(offset) + (F.col(place) * KNOTS - F.col(knot)) * F.col(inside)
+    whole = F.coalesce(F.floor(F.try_divide(F.col(target), F.col(source_size))), F.lit(0)).cast("int")
+    run = run.withColumn(copies, whole + F.when(middle < F.col(target) - whole * F.col(source_size), 1).otherwise(0))
+    share = lambda j: F.least(F.lit(1.0), F.coalesce(F.try_divide(j * F.col(source_size) + middle, F.col(target)), F.lit(0.0)))
+    times = F.transform(F.sequence(F.lit(0), F.greatest(F.col(copies) - 1, F.lit(0))), lambda j: position(share(j), F.col(slope)))
+    run = run.withColumn(positions, F.when(F.col(copies) > 0, times).otherwise(F.array().cast("array<double>")))
+    return run.select(*docs.columns, size, source_size, target, copies, positions), [size, source_size, target, copies, positions]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Per row: id, size, source_size, target, taken, copies, position (of the first copy, else null); range-sorted by position."""
-    p = plan(docs, id_col, text_col, source_col, **options)
-    p = p.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    first = F.round(F.get(F.col("positions"), F.lit(0)), 9)
-    out = p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", first.alias("position"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    p, (size, source_size, target, copies, positions) = placed(narrow, "id", "text", "source", **options)
+    first = F.round(F.get(F.col(positions), F.lit(0)), 9)
+    out = p.select(F.col("id").alias(id_col), F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(copies) * F.col(size)).alias("taken"), F.col(copies).alias("copies"), first.alias("position"))
+    out = written(out, "mixed")  # narrow rows: the range sort's sample reads them, not the texts again
     return out.repartitionByRange(F.asc_nulls_last("position"), id_col).sortWithinPartitions(F.asc_nulls_last("position"), id_col)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The training order: the rows of docs, each as often as it is taken, range-sorted by training position; columns as before."""
-    p = plan(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    p = p.select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("th").alias("m_th"), "positions")
-    on = F.col(id_col).eqNullSafe(F.col("m_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("m_source")) & (F.xxhash64(F.col(text_col)) == F.col("m_th"))
-    rows = docs.join(p.withColumnRenamed("positions", "m_positions"), on).withColumn("m_position", F.explode("m_positions"))
-    return rows.repartitionByRange("m_position", id_col).sortWithinPartitions("m_position", id_col).select(*docs.columns)
+    """The training order: the rows of docs, each as often as it is taken, range-sorted by training position; columns as before.
+
+    The texts are shuffled once, in that sort.
+    """
+    p, (*_, copies, positions) = placed(docs, id_col, text_col, source_col, **options)
+    at = fresh(p, "position")[0]
+    rows = p.where(F.col(copies) > 0).select(*docs.columns, F.explode(positions).alias(at))
+    return rows.repartitionByRange(at, id_col).sortWithinPartitions(at, id_col).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +114,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
-), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS place FROM documents
+), e AS (SELECT *, CAST(floor(place * 1024) AS INTEGER) AS knot FROM d),
+k AS (SELECT source, knot, CAST(sum(size) AS BIGINT) AS words FROM e GROUP BY source, knot),
+o AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY knot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM k),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(i - 1) % 3 + 1]::DOUBLE AS wt, [0.5, 0.0, -0.5][(i - 1) % 3 + 1]::DOUBLE AS g, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / wt, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(wt) OVER (ORDER BY cap / wt, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 t AS (SELECT source, source_size, g, least(cap, (SELECT max(lv) FROM l) * wt) AS target FROM l),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.g, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS BIGINT) AS whole,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT e.doc_id, e.size, t.source_size, t.target, t.g, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS BIGINT) AS whole,
+         o.before + (e.place * 1024 - e.knot) * o.words AS middle
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source JOIN o ON e.source IS NOT DISTINCT FROM o.source AND e.knot = o.knot
 ), c AS (SELECT *, whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END AS copies,
                 least(1.0::DOUBLE, coalesce(middle / nullif(target, 0), 0)) AS y FROM r)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
