@@ -2,7 +2,8 @@
 
 A payload of bytes is a mono signal of signed 8-bit samples (byte - 128).  It is cut into frames of BLOCK samples, each a constant, verbatim,
 fixed-predictor or linear-predictor subframe with Rice-coded residuals; every frame has the CRC-8 of its header and the CRC-16 of its whole,
-the stream has STREAMINFO with the MD5 of the samples and a SEEKTABLE with one point for each frame.  `decode` handles all frames of many
+the stream has STREAMINFO with the MD5 of the samples and a SEEKTABLE with one point for each frame.  What is decoded is written as PCM blocks with a
+table of their offsets (`write_pcm`, `PcmReader`, `pcm_column`).  `decode` handles all frames of many
 streams in step, one sample of each frame at a time, so numpy does the Rice unary codes and the predictors of thousands of frames at once;
 `decode_range` reads only the frames that hold a range of samples.  Both check sync codes, CRC-8, CRC-16; `decode` also the MD5.
 
@@ -10,12 +11,15 @@ The format is that of the published FLAC specification (RFC 9639); mono streams
 predictor, partition order and Rice parameter, escape codes too.
 
 Defined cases: a null text is an empty one; the empty payload is padded to one unit like any other, so streams are never empty; the encoder is a
-function of the payload, so equal payloads give equal streams. Damaged streams raise ValueError. Other columns are ignored.
+function of the payload, so equal payloads give equal streams; null and repeated ids are rows like others; an empty table gives no rows. Damaged
+streams raise ValueError; streams without a seek table, or with one that has only some frames, are walked. Other columns are ignored. A text is
+held whole, with some 80 bytes of memory a byte while it is encoded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField
 
-from .base import binary_array, bounded, ragged, scratch, slices, sums, table, utf8
+from .base import binary_array, bounded, fresh, ragged, scratch, slices, sums, table, utf8
 
 BLOCK = 1024
 RATE = 8000
@@ -219,12 +224,37 @@ def index(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
             info = body
         elif kind & 127 == 3:
             points = np.frombuffer(body, [("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
-    if info is None or points is None:
-        raise ValueError("STREAMINFO or SEEKTABLE is missing")
+    if info is None or len(info) < 34:
+        raise ValueError("STREAMINFO is missing")
     packed = int.from_bytes(info[10:18], "big")
     if packed >> 41 & 7 or packed >> 36 & 31 != 7:
         raise ValueError("only mono streams of 8 bits are read")
-    return packed & (1 << 36) - 1, info[18:34], points, pos
+    n = packed & (1 << 36) - 1
+    block = int.from_bytes(info[2:4], "big")
+    whole = points is not None and len(points) == -(-n // max(block, 1))  # its points are checked where they are used
+    return n, info[18:34], points if whole else _walk(stream, pos, n, block), pos
+
+
+def _walk(stream: bytes, pos: int, n: int, block: int) -> np.ndarray:
+    """A seek point for every frame, for streams whose table is absent or has only some: frames follow where sync code, number and checksums agree."""
+    buf = np.frombuffer(stream, np.uint8)
+    at = np.flatnonzero((buf[pos:-1] == 0xFF) & (buf[pos + 1 :] == 0xF8)) + pos
+    starts: list[int] = []
+    for c in at.tolist():
+        head = _number(len(starts))
+        code = stream[c + 2] >> 4
+        size = 4 + len(head) + {6: 1, 7: 2}.get(code, 0) + 1
+        if stream[c + 4 : c + 4 + len(head)] != head or c + size > len(stream) or crc(buf, np.array([c]), np.array([size]), 8)[0]:
+            continue
+        if starts and crc(buf, np.array(starts[-1:]), np.array([c - starts[-1]]), 16)[0]:
+            continue
+        starts.append(c)
+    points = np.zeros(len(starts), [("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
+    points["s"], points["o"] = np.arange(len(starts)) * block, np.array(starts, np.int64) - pos
+    points["n"] = np.minimum(block, n - points["s"].astype(np.int64))
+    if len(starts) != -(-n // max(block, 1)):
+        raise ValueError("the frames aren't those that STREAMINFO tells of")
+    return points
 
 
 def _frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,6 +426,67 @@ def decode_range(stream: bytes, first: int, count: int) -> np.ndarray:
     return flat[first - s[a] : last - s[a]].view(np.uint8) ^ 0x80
 
 
+PCM = b"PCMBLOCK"
+
+
+def write_pcm(out, samples: np.ndarray, block: int = BLOCK) -> None:
+    """Samples as PCM blocks: magic, number of samples, samples a block, byte offset of each block and of the end (little-endian), blocks."""
+    count = -(-len(samples) // block)
+    begin = len(PCM) + 12 + 8 * (count + 1)
+    offsets = begin + np.minimum(np.arange(count + 1, dtype="<i8") * block, len(samples))
+    out.write(PCM + struct.pack("<QI", len(samples), block) + offsets.astype("<i8").tobytes())
+    for i in range(count):
+        out.write(samples[i * block : (i + 1) * block].tobytes())
+
+
+class PcmReader:
+    """Random access to the blocks that write_pcm wrote: a range is read from the blocks that hold it."""
+
+    def __init__(self, file):
+        self.file = file
+        file.seek(0)
+        head = file.read(len(PCM) + 12)
+        if len(head) < len(PCM) + 12 or head[: len(PCM)] != PCM:
+            raise ValueError("no PCM blocks")
+        self.samples, self.block = struct.unpack("<QI", head[len(PCM) :])
+        size = 8 * (-(-self.samples // self.block) + 1)
+        table = file.read(size)
+        if len(table) < size:
+            raise ValueError("the table of PCM blocks is cut off")
+        self.offsets = np.frombuffer(table, "<i8")
+
+    def range(self, first: int, count: int) -> np.ndarray:
+        last = min(self.samples, first + count)
+        if first >= last:
+            return np.zeros(0, np.uint8)
+        a, b = first // self.block, -(-last // self.block)
+        self.file.seek(int(self.offsets[a]))
+        want = int(self.offsets[b] - self.offsets[a])
+        data = self.file.read(want)
+        if len(data) < want:
+            raise ValueError("a PCM block is cut off")
+        return np.frombuffer(data, np.uint8)[first - a * self.block : last - a * self.block]
+
+
+def pcm_column(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """The rows with `pcm`: the verified samples of each stream as PCM blocks; write it as a table and read ranges by `PcmReader`."""
+    name = fresh(media, "pcm")[0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, media_col, 2 << 20):
+            files = [_blocks(x).getvalue() for x in decode(b.column(media_col).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(files, pa.binary())], [*b.schema.names, name])
+
+    ddl = media.schema
+    return media.mapInArrow(work, type(ddl)([*ddl.fields, StructField(name, BinaryType())]))
+
+
+def _blocks(samples: np.ndarray) -> io.BytesIO:
+    out = io.BytesIO()
+    write_pcm(out, samples)
+    return out
+
+
 def padded(data: np.ndarray, at: np.ndarray, unit: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Payloads with zeros appended up to a positive multiple of the unit."""
     n = np.diff(at)
@@ -426,14 +517,17 @@ def features(x: np.ndarray) -> str:
 
 
 def media_report(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decodes and verifies each stored stream: lengths, digests and features of what was read back."""
+    """Decodes and verifies each stored stream into PCM blocks: lengths, digests and features of what is read back from those.
+
+    A row's blocks live in the task's memory here; `pcm_column` gives them as rows.
+    """
     schema = "id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string".format(media.schema["id"].dataType.simpleString())
     names = [part.split()[0] for part in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", 2 << 20):
             stored = b.column("media").to_pylist()
-            read = decode(stored)
+            read = [(r := PcmReader(_blocks(x))).range(0, r.samples) for x in decode(stored)]
             cols = [[len(x) for x in read], [hashlib.sha256(x.tobytes()).hexdigest() for x in read], [zlib.crc32(x[-64:].tobytes()) for x in read], [len(s) for s in stored], [hashlib.sha256(s).hexdigest() for s in stored], [features(x) for x in read]]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)

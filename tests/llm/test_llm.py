@@ -461,3 +461,26 @@ def test_language_scores_by_windows(spark):
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         if got[r.doc_id].lang_pred != "und":
             assert got[r.doc_id].score == pytest.approx(p.max(), abs=1e-4) and got[r.doc_id].lang_pred == model.langs[int(p.argmax())]
+
+
+def test_pcm_blocks_and_streams_without_a_table(spark):
+    x = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    stream, _ = flac.encode(x, np.array([0, len(x)]))
+    stream = stream.tobytes()
+    size = int.from_bytes(stream[43:46], "big")
+    bare = stream[:4] + bytes([0x80]) + stream[5:42] + stream[46 + size :]
+    assert (flac.decode([bare])[0] == x).all() and (flac.decode_range(bare, 2000, 1500) == x[2000:3500]).all()
+    some = stream[:42] + bytes([0x83]) + (18).to_bytes(3, "big") + stream[46 : 46 + 18] + stream[46 + size :]
+    assert (flac.decode([some])[0] == x).all()
+    with pytest.raises(ValueError):
+        flac.decode([bare[:-600]])
+    out = io.BytesIO()
+    flac.write_pcm(out, x, 700)
+    r = flac.PcmReader(out)
+    assert r.samples == 5000 and all((r.range(a, n) == x[a : a + n]).all() for a, n in ((0, 5000), (699, 2), (700, 700), (4990, 100), (5000, 5)))
+    for bad in (b"", b"PCMBLOCK", out.getvalue()[:40], b"x" * 60):
+        with pytest.raises(ValueError):
+            flac.PcmReader(io.BytesIO(bad)).range(0, 10)
+    d = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, None)], "doc_id long, text string")
+    got = flac.pcm_column(flac.encode_column(d)).collect()
+    assert sorted(bytes(flac.PcmReader(io.BytesIO(g.pcm)).range(0, 64)).rstrip(b"\0") for g in got) == [b"", b"abc", b"abc"]
