@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actiscope.llm import jaccard, langid, mix, pieces, quality
-from actiscope.llm.base import table, written
+from actiscope.llm.base import fresh, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows are told apart by id and text; a group without an id keeps a row too. Rows without words are in no group and all stay.
     """
-    keyed = docs.withColumn("dedup_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    groups = jaccard.jaccard_join(keyed, id_col="dedup_key", words=5, num=80, den=100)
-    first = groups.where((F.col("n_shingles") == 0) | (F.col("dedup_key") == F.col("component_id"))).groupBy(F.col("dedup_key").alias("first_key"))
-    first = written(first.agg(F.count(F.lit(1)).alias("first_rows"), F.max("n_shingles").alias("first_n")), "first")
-    out = keyed.join(first, F.col("dedup_key") == F.col("first_key"))
-    if first.where("first_n > 0 AND first_rows > 1").limit(1).count():
-        out = out.where("first_n = 0").unionByName(out.where("first_n > 0").dropDuplicates(["dedup_key"]))
+    key, first_key, first_rows, first_n = fresh(docs, "dedup_key", "first_key", "first_rows", "first_n")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    groups = jaccard.jaccard_join(keyed, id_col=key, words=5, num=80, den=100)
+    first = groups.where((F.col("n_shingles") == 0) | (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias(first_key))
+    first = written(first.agg(F.count(F.lit(1)).alias(first_rows), F.max("n_shingles").alias(first_n)), "first")
+    out = keyed.join(first, F.col(key) == F.col(first_key))
+    if first.where((F.col(first_n) > 0) & (F.col(first_rows) > 1)).limit(1).count():
+        out = out.where(F.col(first_n) == 0).unionByName(out.where(F.col(first_n) > 0).dropDuplicates([key]))
     return out.select(*docs.columns)
 
 
