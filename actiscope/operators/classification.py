@@ -54,6 +54,21 @@ def optimal(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     return best.select(rows.alias("r")).select("r.*")
 
 
+def threshold_report(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """criterion, threshold and rates at the best threshold of each criterion and at 0.5, beside base_rate, n_samples, roc_auc, pr_auc of all rows.
+
+    The cut at 0.5 takes the rates of the lowest threshold of the sweep that is 0.5 or above.  Rows without a score or label don't count; of none, all rates are null.
+    """
+    shown = ("sensitivity", "specificity", "precision", "f1", "mcc", "balanced_accuracy", "accuracy")
+    s = sweep(df, y, score).withColumn("youden", F.col("sensitivity") + F.col("specificity") - 1)
+    row = F.struct("threshold", *shown).alias("row")
+    names = ("youden", "mcc", "f1", "balanced_accuracy")
+    best = s.agg(*[F.max(F.struct(F.round(c, 12).alias("value"), (-F.col("threshold")).alias("low"), row)).alias(c) for c in names], F.min(F.when(F.col("threshold") >= 0.5, F.struct("threshold", row))).alias("half"))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"{c}.row.threshold").alias("threshold"), *[F.col(f"{c}.row.{k}").alias(k) for k in shown]) for c in names], F.struct(F.lit("default_0.5").alias("criterion"), F.lit(0.5).alias("threshold"), *[F.col(f"half.row.{k}").alias(k) for k in shown])))
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).agg(F.avg(F.col(y).cast("double")).alias("base_rate"), F.count(F.lit(1)).alias("n_samples"))
+    return best.select(rows.alias("r")).select("r.*").join(F.broadcast(known)).join(F.broadcast(areas(df, y, score)))  # one row each
+
+
 def areas(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """roc_auc with ties as half, and average precision with ties grouped; null if a class is missing."""
     s = running(by_score(df, y, score).withColumn("neg_score", -F.col("score")), ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -78,3 +78,23 @@ def representation_conflicts(df: DataFrame, features: list[str], label: str) ->
     a = g.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("distinct_rows"), F.count_if(F.col("size") > 1).alias("collision_groups"), F.count_if(F.col("labels") > 1).alias("conflicting_groups"),
               F.coalesce(F.sum(F.when(F.col("labels") > 1, F.col("size"))), F.lit(0)).alias("in_conflict"), F.sum(F.col("size") - F.col("top")).alias("irreducible_errors"))
     return a.withColumn("max_accuracy", 1 - ratio(F.col("irreducible_errors"), F.col("n"), 0))
+
+
+def curated(df: DataFrame, key: str, idx: str, value: str, valid: Column | None = None, method: str = "median", max_spread: float | None = 1.0, outliers: str | None = None, limit: float = 3.5) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, replicates merged by key, outliers removed; and the report of the stages: place, stage, n, removed, retention of the input.
+
+    A row without a value is valid if the condition says so; it merges into its key, is never an outlier.  The report counts each stage anew: its plan
+    reads the table once a stage.  An empty table has null retention.
+    """
+    stages = [("input", df), ("valid", df if valid is None else df.where(valid))]
+    stages.append(("merged", merge_replicates(stages[-1][1], key, idx, value, method, max_spread)))
+    if outliers:
+        scores = outlier_scores(stages[-1][1], "value", outliers)
+        stages.append(("without outliers", scores.where(F.coalesce("score", F.lit(0.0)) <= limit).drop("score")))
+    report = None
+    for place, (name, d) in enumerate(stages):
+        one = d.agg(F.lit(place).alias("place"), F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"))
+        report = one if report is None else report.unionByName(one)
+    w = Window.orderBy("place")  # a row per stage
+    removed = F.coalesce(F.lag("n").over(w) - F.col("n"), F.lit(0).cast("long"))
+    return stages[-1][1], report.select("place", "stage", "n", removed.alias("removed"), ratio(F.col("n"), F.first("n").over(w)).alias("retention"))

@@ -38,13 +38,18 @@ def _blocks(df: DataFrame, idx: str, vec: str, name: str) -> tuple[DataFrame, in
     return dealt.groupBy("b").applyInPandas(pack, f"{name} int, {name}_ids array<long>, {name}_x binary"), n
 
 
-def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work, kind: str, same: bool) -> DataFrame:
-    """id and what work(distances squared, queries, training rows) gives, a row per query and training block. With `same`, a row isn't its own neighbour."""
-    q, nq = _blocks(queries, idx, vec, "q")
-    t, nt = _blocks(train, idx, vec, "t")
+def _met(queries: DataFrame, train: DataFrame, idx: str, query_vec: str, train_vec: str) -> DataFrame:
+    """q_ids, q_x, t_ids, t_x: every block of queries beside every block of training rows."""
+    q, nq = _blocks(queries, idx, query_vec, "q")
+    t, nt = _blocks(train, idx, train_vec, "t")
     pairs = q.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(max(0, nt - 1))))).join(t, F.col("m") == F.col("t"))
     tasks = max(1, min(nq * nt, 100_000))
-    pairs = pairs.repartition(tasks, "q", "m").select("q_ids", "q_x", "t_ids", "t_x")
+    return pairs.repartition(tasks, "q", "m").select("q_ids", "q_x", "t_ids", "t_x")
+
+
+def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work, kind: str, same: bool) -> DataFrame:
+    """id and what work(distances squared, queries, training rows) gives, a row per query and training block. With `same`, a row isn't its own neighbour."""
+    pairs = _met(queries, train, idx, vec, vec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

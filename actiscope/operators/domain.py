@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import square
+from .distances import _whole, moments
 from .ranking import quantiles, ranked, running
 
 
@@ -84,17 +85,11 @@ def accuracy_by_coverage(df: DataFrame, score: str, idx: str, y: str, p: str, po
 def leverage_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, factor: float = 3.0) -> DataFrame:
     """idx, leverage, inside: x' (X'X)+ x against factor * (p + 1) / n, without centring.
 
-    The driver holds one p x p matrix of p features, never rows; rows with null components have no leverage and are left out.
+    A task sums up one p x p matrix of p features, which the driver holds, never rows; rows with components that are null or not finite have no leverage and are left out.
     """
-    x = F.col(vec).cast("array<double>")
-    whole = ~F.exists(x, lambda v: v.isNull())
-    rows = train.where(whole).select(x.alias("x"))
-    pairs = rows.select(F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode("x").alias("j", "b"), "a").where("i <= j")
-    gram = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
-    n, p = rows.count(), max((r.j for r in gram), default=-1) + 1
-    g = np.zeros((p, p))
-    for r in gram:
-        g[r.i, r.j] = g[r.j, r.i] = r.s
+    x, whole = F.col(vec).cast("array<double>"), _whole(vec)
+    n, _, g = moments(train, vec)
+    p = len(g)
     inverse = np.linalg.pinv(g) if p else g
     table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse]) if p else F.array().cast("array<array<double>>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)

@@ -49,6 +49,15 @@ def coverage(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
     return side(a, b, "a").join(F.broadcast(side(b, a, "b"))).select("a_covered", "b_covered", "a_mean", "b_mean")  # one row each
 
 
+def voted(members: dict[str, DataFrame], idx: str, voting: str = "majority") -> DataFrame:
+    """idx, a flag per member domain, outside (share of members that a row lies outside of), inside by majority, unanimous or any vote; rows that all members know."""
+    out = None
+    for name, d in members.items():
+        flags = d.select(idx, F.col("inside").alias(name))
+        out = flags if out is None else out.join(flags, idx)
+    return out.withColumn("outside", outside_share([F.col(name) for name in members])).withColumn("inside", F.col("outside") <= {"majority": 0.5, "unanimous": 0.0, "any": 1 - 1e-9}[voting])
+
+
 def outside_share(flags: list[Column]) -> Column:
     """The share of domains that a row lies outside of; majority, unanimous and any vote are limits of 0.5, 0 and just under 1."""
     return sum(((~f).cast("double") for f in flags), F.lit(0.0)) / len(flags)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .distances import _whole, moments
 from .domain import _long
 from .ranking import quantiles
 
@@ -45,16 +46,15 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "median") -> DataF
 def correlation_filter(df: DataFrame, idx: str, vec: str, most: float = 0.95) -> DataFrame:
     """dim of the columns that are kept: in order, a column goes if its absolute correlation with a kept one is above the limit. Constants go first.
 
-    One aggregate makes the p x p sums; the pass over the columns runs on that table, on the driver.  Rows with null components don't count.
+    A task sums up one p x p matrix of the centred columns; the pass over the columns runs on that matrix, on the driver.  Rows with components that
+    are null or not finite don't count.
     """
-    x = F.col(vec).cast("array<double>")
-    rows = df.where(~F.exists(x, lambda v: v.isNull())).select(x.alias("x"))
+    rows = df.where(_whole(vec)).select(F.col(vec).cast("array<double>").alias("x"))
     means = rows.select(F.posexplode("x").alias("i", "a")).groupBy("i").agg(F.avg("a").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("ms"))
     centred = rows.join(F.broadcast(means)).select(F.zip_with("x", "ms", lambda a, m: a - m).alias("x"))  # one row
-    pairs = centred.select(F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode("x").alias("j", "b"), "a").where("i <= j")
-    sums = {(r.i, r.j): r.s for r in pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()}
+    sums = moments(centred, "x")[2]
     kept: list[int] = []
-    for j in sorted({j for _, j in sums}):
+    for j in range(len(sums)):
         if sums[j, j] > 0 and all(abs(sums[i, j]) / (sums[i, i] * sums[j, j]) ** 0.5 <= most for i in kept):
             kept.append(j)
     return df.sparkSession.createDataFrame([(j,) for j in kept], "dim int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import distances, models
+from ..operators import distances, models, spaces
 from .registry import query, read, rounded
 
 _V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len([z for z in embedding if z IS NULL OR NOT isfinite(z::DOUBLE)]) = 0), t AS (SELECT * FROM v WHERE label < 7)"
@@ -59,3 +59,11 @@ def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rows(spark, sf_dir).where("y IS NOT NULL")
     return rounded(models.PartialLeastSquares(d, "x", "y", 3).predict(d, "id"))
+
+
+@query(f"""WITH {_V}, d AS (SELECT a.id, b.id AS other, round(list_distance(a.x, b.x), 12) AS d, list_distance(a.x[1:16], b.x[1:16]) AS e FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT rank() OVER (PARTITION BY id ORDER BY d) AS r, row_number() OVER (PARTITION BY id ORDER BY e, other) AS s FROM d), n AS (SELECT count(*) AS n FROM v)
+SELECT any_value(n) AS n, round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(greatest(r - 5, 0)), 6) AS trustworthiness FROM r, n WHERE s <= 5""")
+def projection_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rows(spark, sf_dir).withColumn("e", F.slice("x", 1, 16))
+    return rounded(spaces.trustworthiness(d, "id", "x", "e", 5))
