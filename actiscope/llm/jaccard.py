@@ -148,10 +148,10 @@ def _merge(lists: list[np.ndarray], least: int, size: int) -> tuple[np.ndarray,
     return np.array(out, np.int64), np.array([count[x] for x in out], np.int64)
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, every: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def linked(sets: list[np.ndarray], num: int, den: int, every: bool = True, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each set, the earlier ones (by size) with Jaccard >= num / den, and which of those span the components. Sets are ascending and not empty.
 
-    Unless every, only as many are found as span the components.
+    Unless every, only as many are found as span the components; known: the components that the sets are in already.
     """
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), np.int64)
     size = np.array([len(sets[i]) for i in order], np.int64)
@@ -165,7 +165,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, every: bool = True) -> It
     width = len(order)
     keyed = inverse[by].astype(np.int64) * width + post  # (list, entry), ascending: binary probes of many lists at once
     at = np.r_[0, np.cumsum(size)]
-    comp = np.arange(len(order))
+    comp = np.arange(len(order)) if known is None else known[order]
     # Lists with a 64th of the sets or more have a bit in each set's row of a map, which so takes no more than 8 bytes an entry.
     heavy = np.flatnonzero(long_by >= max(64, width // 64))
     spot = np.full(len(long_by), -1)
