@@ -269,7 +269,18 @@ def test_mix(spark, docs, none):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     m = mix.mix(d).join(d.select("doc_id", "source"), "doc_id")
     for r in m.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("x"), F.first("source_size").alias("s")).collect():
-        assert abs(r.t - r.g) <= r.x and r.g <= 2 * r.s
+        assert abs(r.t - r.g) <= r.x / 2 and r.g <= 2 * r.s
+
+
+def test_mix_takes_a_share_of_equal_rows(spark):
+    """Rows without an id and with one text, or with one id, have one place: as many of them are taken as fit the target."""
+    rows = [(None, "a b c d e", "s", i) for i in range(1000)] + [(1, "q w e r t y", "t", i) for i in range(500)] + [(i, "one two three", "u", i) for i in range(100)] + [(7, None, None, 0)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, number int")
+    sums = {r.source_size: (r.taken, r.target, r.rows, r.most - r.least) for r in mix.mix(d).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()}
+    assert [sums[n][2] for n in (0, 300, 3000, 5000)] == [3, 100, 500, 1000] and sums[5000][3] == 1
+    assert all(abs(taken - target) <= 3 for taken, target, *_ in sums.values())
+    out = mix.mixed(d)
+    assert out.columns == d.columns and out.groupBy("source").count().where("source = 's'").first()["count"] * 5 == sums[5000][0]
 
 
 def test_warc(spark):
