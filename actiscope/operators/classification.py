@@ -54,6 +54,21 @@ def optimal(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     return best.select(rows.alias("r")).select("r.*")
 
 
+def bounded_optima(df: DataFrame, y: str = "y", score: str = "score", cost_fn: float = 1.0, cost_fp: float = 1.0, min_precision: float = 0.0, min_recall: float = 0.0) -> DataFrame:
+    """criterion, value, threshold, reached: least cost of the errors; most recall at a least precision; most precision at a least recall. Ties to the lowest threshold.
+
+    Where no threshold has the precision (recall) asked for, value and threshold are null and reached is the best there is; else reached is what the threshold has.
+    """
+    s = sweep(df, y, score)
+    cost = F.round(cost_fn * F.col("fn") + cost_fp * F.col("fp"), 12)
+    low = (-F.col("threshold")).alias("low")
+    floor = lambda c, least, goal: F.max(F.when(F.col(c) >= least, F.struct(F.round(goal, 12).alias("value"), low, F.col(c).alias("reached"))))
+    best = s.agg(F.max(F.struct((-cost).alias("value"), low)).alias("cost"), floor("precision", min_precision, "sensitivity").alias("precision"), floor("sensitivity", min_recall, "precision").alias("recall"), F.max("precision").alias("p"), F.max("sensitivity").alias("r"), F.count(F.lit(1)).alias("n"))
+    row = lambda name, value, reached: F.struct(F.lit(name).alias("criterion"), value.alias("value"), (-F.col(f"{name}.low")).alias("threshold"), reached.alias("reached"))
+    rows = F.array(row("cost", -F.col("cost.value"), -F.col("cost.value")), row("precision", F.col("precision.value"), F.coalesce("precision.reached", "p")), row("recall", F.col("recall.value"), F.coalesce("recall.reached", "r")))
+    return best.where("n > 0").select(F.explode(rows).alias("r")).select("r.*")
+
+
 def threshold_report(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """criterion, threshold and rates at the best threshold of each criterion and at 0.5, beside base_rate, n_samples, roc_auc, pr_auc of all rows.
 

@@ -1,23 +1,32 @@
 """Distances of rows to all rows of a training table, in tiles, and the domains that rest on them.
 
-Both sides are packed into blocks of ROWS vectors; every block of queries meets every block of training rows once, as a matrix product, and leaves
-only what is asked for: the k least distances of each query, or a sum of kernels.  The pairs of blocks are rows of a table that Spark spreads over its
+Both sides are packed into blocks of about ROWS vectors; every block of queries meets every block of training rows once, as a matrix product, and leaves
+only what is asked for: the k least distances of each query, a sum of kernels, or the farthest row.  The pairs of blocks are rows of a table that Spark spreads over its
 tasks; no task holds more than two blocks, and nothing but the number of blocks reaches the driver.  The work is queries x training rows: that is the
-operator's nature.  Rows without a vector, or with components that are null or not finite, take no part.
+operator's nature.  What the blocks leave of a query is merged in two steps, so that no row gathers more than the square root of their number.
+
+Defined cases: rows without a vector, or with components that are null or not finite, take no part. Rows are told apart by their own number, so ids of any
+type may repeat or be null: each row has its result. An empty training table gives every query an empty list of distances, and null distances, densities and decisions.
+Vectors of different lengths end the job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clustering import _cut
 from .ranking import quantiles
 
-ROWS = 1024
+ROWS = 2048
+#: Queries of a product at a time.
+CHUNK = 512
 
 
 def _whole(vec: str) -> Column:
@@ -25,79 +34,193 @@ def _whole(vec: str) -> Column:
     return F.col(vec).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
 
 
+def _vectors(df: DataFrame, idx: str, vec: str) -> DataFrame:
+    return df.where(_whole(vec)).select(F.col(idx).alias("id"), F.col(vec).cast("array<double>").alias("x"))
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    n = len(col)
+    return np.asarray(col.combine_chunks().flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
 def _blocks(df: DataFrame, idx: str, vec: str, name: str) -> tuple[DataFrame, int]:
-    """A row per block: its number, ids and the vectors as one binary of doubles; and the number of blocks."""
-    rows = df.where(_whole(vec)).select(F.col(idx).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
+    """A row per block: its number, ids and the vectors as one binary of doubles; and the number of blocks. Rows are dealt by id and vector."""
+    rows = _vectors(df, idx, vec)
+    kind = rows.schema["id"].dataType.simpleString()
     n = -(-rows.count() // ROWS)
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(1, n))).cast("int"))
+    dealt = rows.withColumn("h", F.xxhash64("id", "x")).withColumn("b", F.pmod("h", F.lit(max(1, n))).cast("int"))
 
-    def pack(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("id")
-        return pd.DataFrame({f"{name}": [int(t.b.iloc[0])], f"{name}_ids": [t.id.to_numpy()], f"{name}_x": [np.vstack(t.x.to_numpy()).astype("<f8").tobytes()]})
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("h")  # a block is the same whenever it is made
+        ids = t.column("id").combine_chunks()
+        return pa.table({name: pa.array([t.column("b")[0].as_py()], pa.int32()), f"{name}_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), f"{name}_x": pa.array([_matrix(t.column("x")).astype("<f8").tobytes()], pa.binary())})
 
-    return dealt.groupBy("b").applyInPandas(pack, f"{name} int, {name}_ids array<long>, {name}_x binary"), n
+    return dealt.groupBy("b").applyInArrow(pack, f"{name} int, {name}_ids array<{kind}>, {name}_x binary"), n
 
 
-def _met(queries: DataFrame, train: DataFrame, idx: str, query_vec: str, train_vec: str) -> DataFrame:
-    """q_ids, q_x, t_ids, t_x: every block of queries beside every block of training rows."""
+def _met(queries: DataFrame, train: DataFrame, idx: str, query_vec: str, train_vec: str) -> tuple[DataFrame, int]:
+    """q, q_ids, q_x, t, t_ids, t_x: every block of queries beside every block of training rows; and the number of training blocks."""
     q, nq = _blocks(queries, idx, query_vec, "q")
     t, nt = _blocks(train, idx, train_vec, "t")
     pairs = q.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(max(0, nt - 1))))).join(t, F.col("m") == F.col("t"))
     tasks = max(1, min(nq * nt, 100_000))
-    return pairs.repartition(tasks, "q", "m").select("q_ids", "q_x", "t_ids", "t_x")
+    return pairs.repartition(tasks, "q", "m").select("q", "q_ids", "q_x", "t", "t_ids", "t_x"), nt
 
 
-def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work, kind: str, same: bool) -> DataFrame:
-    """id and what work(distances squared, queries, training rows) gives, a row per query and training block. With `same`, a row isn't its own neighbour."""
-    pairs = _met(queries, train, idx, vec, vec)
+def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work: Callable, kind: str, same: bool) -> tuple[DataFrame, int]:
+    """q, i (a query's block and place), id, g (a group of training blocks), v: what work(distances squared, queries, training rows, their ids) gives.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With `same`, both sides are one table and a row isn't its own neighbour.
+    """
+    pairs, nt = _met(queries, train, idx, vec, vec)
+    id_kind = queries.schema[idx].dataType.simpleString()
+    groups = max(1, math.isqrt(nt))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                a = np.frombuffer(r.q_x, "<f8").reshape(len(r.q_ids), -1)
-                b = np.frombuffer(r.t_x, "<f8").reshape(len(r.t_ids), -1)
-                d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
-                if same:
-                    d[np.asarray(r.q_ids)[:, None] == np.asarray(r.t_ids)] = np.inf
-                yield pd.DataFrame({"id": r.q_ids, "v": work(d, a, b)})
+            for r in range(batch.num_rows):
+                q, t = batch.column("q")[r].as_py(), batch.column("t")[r].as_py()
+                ids, t_ids = batch.column("q_ids")[r].values, batch.column("t_ids")[r].values
+                a = np.frombuffer(batch.column("q_x")[r].as_py(), "<f8").reshape(len(ids), -1)
+                b = np.frombuffer(batch.column("t_x")[r].as_py(), "<f8").reshape(len(t_ids), -1)
+                b2 = (b * b).sum(1)
+                for s in range(0, len(a), CHUNK):
+                    part = a[s : s + CHUNK]
+                    d = np.maximum((part * part).sum(1)[:, None] + b2 - 2 * part @ b.T, 0)
+                    if same and q == t:
+                        own = np.arange(len(part))
+                        d[own, own + s] = np.inf
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q, np.int32)), pa.array(np.arange(s, s + n, dtype=np.int32)), ids.slice(s, n), pa.array(np.full(n, t % groups, np.int32)), work(d, part, b, t_ids)], ["q", "i", "id", "g", "v"])
+
+    return pairs.mapInArrow(run, f"q int, i int, id {id_kind}, g int, v {kind}"), nt
+
 
-    return pairs.mapInPandas(run, f"id long, v {kind}")
+def _merged(found: DataFrame, merge: Callable[[Column], Column]) -> DataFrame:
+    """id, v: a query's values, merged group by group and then over the groups."""
+    each = found.groupBy("q", "i", "g").agg(F.first("id").alias("id"), merge(F.collect_list("v")).alias("v"))
+    return each.groupBy("q", "i").agg(F.first("id").alias("id"), merge(F.collect_list("v")).alias("v")).select("id", "v")
+
+
+def _exact(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Distances of rows of a to some rows of b each; the product form loses digits where rows are close."""
+    return np.sqrt(((a[:, None] - b[near]) ** 2).sum(2))
 
 
 def nearest_distances(queries: DataFrame, train: DataFrame, idx: str, vec: str, k: int, same: bool = False) -> DataFrame:
     """idx, distances: the k least Euclidean distances to training rows (all, if fewer), ascending."""
 
-    def least(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[float]]:
+    def least(d: np.ndarray, a: np.ndarray, b: np.ndarray, _: pa.Array) -> pa.Array:
         near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-        # The product form loses digits where rows are close: those that are kept are measured again.
-        far = np.sqrt(((a[:, None] - b[near]) ** 2).sum(2))
+        far = _exact(a, b, near)
         far[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
-        return [[float(x) for x in row if np.isfinite(x)] for row in np.sort(far, axis=1)]
+        return pa.array([row[np.isfinite(row)] for row in np.sort(far, axis=1)], pa.list_(pa.float64()))
 
-    found = _tiles(queries, train, idx, vec, least, "array<double>", same)
-    # k numbers a query and training block: the lists are merged block by block.
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("v"))), 1, k)
-    return found.groupBy("id").agg(merged.alias("distances")).withColumnRenamed("id", idx)
+    found, nt = _tiles(queries, train, idx, vec, least, "array<double>", same)
+    if not nt:
+        return _vectors(queries, idx, vec).select(F.col("id").alias(idx), F.array().cast("array<double>").alias("distances"))
+    return _merged(found, lambda lists: F.slice(F.sort_array(F.flatten(lists)), 1, k)).select(F.col("id").alias(idx), F.col("v").alias("distances"))
 
 
 def knn_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, k: int = 5, percentile: float = 0.95) -> DataFrame:
     """idx, distance (mean to the k nearest training rows), inside: within the percentile of the training rows' own, each without itself."""
-    mean = lambda d: d.select(idx, F.aggregate("distances", F.lit(0.0), lambda s, v: s + v, lambda s: s / F.size("distances")).alias("distance"))
+    mean = lambda d: d.select(idx, F.try_divide(F.aggregate("distances", F.lit(0.0), lambda s, v: s + v), F.size("distances")).alias("distance"))
     limit = quantiles(mean(nearest_distances(train, train, idx, vec, k, True)), "distance", {"limit": percentile})
     return mean(nearest_distances(df, train, idx, vec, k)).join(F.broadcast(limit)).select(idx, "distance", (F.col("distance") <= F.col("limit")).alias("inside"))  # one row
 
 
-def density(df: DataFrame, train: DataFrame, idx: str, vec: str, width: float, same: bool = False) -> DataFrame:
-    """idx, log_density: of the mean Gaussian kernel over the training rows, without its constant."""
+def _gaussian(d: np.ndarray, w: float) -> np.ndarray:
+    return -d / (2 * w * w)
+
+
+def _inside(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, float], np.ndarray]:
+    """The logarithm of a kernel of u = distance / width that is 0 from 1 on."""
+
+    def logarithm(d: np.ndarray, w: float) -> np.ndarray:
+        u = np.sqrt(d) / w
+        return np.log(np.where(u < 1, f(np.minimum(u, 1)), 0))
+
+    return logarithm
+
+
+#: Logarithms of kernels, from squared distances and a width, without their constants.
+KERNELS = {"gaussian": _gaussian, "exponential": lambda d, w: -np.sqrt(d) / w, "tophat": _inside(np.ones_like), "epanechnikov": _inside(lambda u: 1 - u * u), "linear": _inside(lambda u: 1 - u), "cosine": _inside(lambda u: np.cos(u * np.pi / 2))}
+
+
+def bandwidth(train: DataFrame, vec: str, rule: str = "scott") -> float:
+    """The width by a rule of thumb, from the numbers of rows and of components: scott or silverman."""
+    n, s, _ = moments(train, vec)
+    p = len(s)
+    if rule not in ("scott", "silverman"):
+        raise ValueError(f"no rule {rule}")
+    return max(n, 1) ** (-1 / (p + 4)) if rule == "scott" else (max(n, 1) * (p + 2) / 4) ** (-1 / (p + 4))
+
+
+def density(df: DataFrame, train: DataFrame, idx: str, vec: str, width: float | str = "scott", same: bool = False, kernel: str = "gaussian") -> DataFrame:
+    """idx, log_density: of the mean kernel over the training rows, without its constant.
+
+    Every block leaves its largest logarithm and the sum relative to it, so rows however far have a density; -infinity beyond the reach of all kernels.
+    """
+    w = bandwidth(train, vec, width) if isinstance(width, str) else float(width)
+    of = KERNELS[kernel]
+
+    def sums(d: np.ndarray, a: np.ndarray, b: np.ndarray, _: pa.Array) -> pa.Array:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = of(d, w)
+            top = logs.max(1)
+            total = np.where(np.isfinite(top), np.exp(logs - top[:, None]).sum(1), 0.0)
+        return pa.StructArray.from_arrays([pa.array(top), pa.array(np.nan_to_num(total))], ["top", "total"])
+
+    def merge(parts: Column) -> Column:
+        top = F.array_max(F.transform(parts, lambda e: e["top"]))
+        # An entry without a finite top has total 0.
+        total = F.aggregate(parts, F.lit(0.0), lambda s, e: s + F.when(e["total"] == 0, 0.0).otherwise(e["total"] * F.exp(e["top"] - top)))
+        return F.struct(top.alias("top"), total.alias("total"))
+
+    found, nt = _tiles(df, train, idx, vec, sums, "struct<top:double,total:double>", same)
+    if not nt:
+        return _vectors(df, idx, vec).select(F.col("id").alias(idx), F.lit(None).cast("double").alias("log_density"))
     n = train.where(_whole(vec)).agg(F.count(F.lit(1)).alias("n"))
-    found = _tiles(df, train, idx, vec, lambda d, a, b: np.exp(-d / (2 * width * width)).sum(1), "double", same)
-    return found.groupBy(F.col("id").alias(idx)).agg(F.sum("v").alias("s")).join(F.broadcast(n)).select(idx, F.log(F.col("s") / F.col("n")).alias("log_density"))
+    log = F.when(F.col("v.total") > 0, F.col("v.top") + F.log(F.col("v.total") / F.col("n"))).otherwise(float("-inf"))
+    return _merged(found, merge).join(F.broadcast(n)).select(F.col("id").alias(idx), log.alias("log_density"))  # one row
 
 
-def density_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, width: float, percentile: float = 0.05) -> DataFrame:
+def density_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, width: float | str = "scott", percentile: float = 0.05, kernel: str = "gaussian") -> DataFrame:
     """idx, log_density, inside: at the percentile of the training rows' own density or above."""
-    limit = quantiles(density(train, train, idx, vec, width), "log_density", {"limit": percentile})
-    return density(df, train, idx, vec, width).join(F.broadcast(limit)).select(idx, "log_density", (F.col("log_density") >= F.col("limit")).alias("inside"))
+    w = bandwidth(train, vec, width) if isinstance(width, str) else width
+    limit = quantiles(density(train, train, idx, vec, w, kernel=kernel), "log_density", {"limit": percentile})
+    return density(df, train, idx, vec, w, kernel=kernel).join(F.broadcast(limit)).select(idx, "log_density", (F.col("log_density") >= F.col("limit")).alias("inside"))
+
+
+def farthest(df: DataFrame, idx: str, vec: str) -> tuple[object, object] | None:
+    """The ids of the two rows farthest from each other, ties to the smallest ids; None for fewer than two rows. One candidate a row and block, the largest of all."""
+
+    def most(d: np.ndarray, a: np.ndarray, b: np.ndarray, ids: pa.Array) -> pa.Array:
+        d[~np.isfinite(d)] = -1
+        near = np.argpartition(-d, min(4, d.shape[1]) - 1, axis=1)[:, :4]
+        far = np.where(np.take_along_axis(d, near, 1) < 0, -1, _exact(a, b, near))
+        names = np.asarray(ids.to_pylist(), object)
+        best = [max(zip(f, names[c], strict=True), key=lambda t: (t[0], _Last(t[1]))) for f, c in zip(far, near, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], ids.type)], ["far", "other"])
+
+    kind = df.schema[idx].dataType.simpleString()
+    found, _ = _tiles(df, df, idx, vec, most, f"struct<far:double,other:{kind}>", True)
+    low, high = F.least("id", "v.other"), F.greatest("id", "v.other")
+    r = found.where("v.far >= 0").select(F.round("v.far", 12).alias("far"), low.alias("low"), high.alias("high")).orderBy(F.desc("far"), "low", "high").first()
+    return (r.low, r.high) if r else None
+
+
+class _Last:
+    """Reverses an order, so that the largest tuple has the smallest id."""
+
+    def __init__(self, x: object):
+        self.x = x
+
+    def __lt__(self, other: _Last) -> bool:
+        return other.x < self.x
+
+    def __gt__(self, other: _Last) -> bool:
+        return self.x < other.x
 
 
 def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -150,22 +273,67 @@ def component_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, share:
     return range_domain(projected(train, idx, vec, mean, axes), projected(df, idx, vec, mean, axes), idx, "scores", 1e-9)
 
 
-def picked(df: DataFrame, idx: str, vec: str, n: int, how: str = "maxmin") -> DataFrame:
+#: Picks that a row's kept distance may lag behind.
+LAG = 16
+
+
+def _gap(metric: str, x: Column, v: list[float]) -> Column:
+    """The distance of a vector column to a vector; jaccard takes components as set where they aren't 0."""
+    lit = F.array(*[F.lit(float(e)) for e in v])
+    add = lambda s, e: s + e
+    if metric == "euclidean":
+        return F.sqrt(F.aggregate(F.zip_with(x, lit, lambda a, b: (a - b) * (a - b)), F.lit(0.0), add))
+    if metric != "jaccard":
+        raise ValueError(f"no metric {metric}")
+    both = F.aggregate(F.zip_with(x, lit, lambda a, b: F.when((a != 0) & (b != 0), 1.0).otherwise(0.0)), F.lit(0.0), add)
+    either = F.aggregate(F.zip_with(x, lit, lambda a, b: F.when((a != 0) | (b != 0), 1.0).otherwise(0.0)), F.lit(0.0), add)
+    return F.coalesce(1 - F.try_divide(both, either), F.lit(0.0))
+
+
+def picked(df: DataFrame, idx: str, vec: str, n: int, how: str = "maxmin", metric: str = "euclidean", seed: object = None) -> DataFrame:
     """idx, pick: n rows far from each other, one after the other, each the farthest from all before; ties to the smallest id.
 
-    maxmin begins with the row nearest to the centre, kennard_stone with the two ends of the longest distance from it.  Each pick is a pass over the
-    table that keeps one distance a row, by the picked vectors alone: n passes, and n vectors on the driver.
+    maxmin begins with the row of an id (seed), or with that nearest to the centre; kennard_stone with the two ends of the longest distance of all.  Rows keep their distance
+    to the picks: each pick is a pass over the table that compares it with at most LAG new vectors, and every LAG picks the kept distance is written.  As picks
+    follow from each other there are as many passes as picks: for tables from which few rows are picked, or small ones. Ids mustn't repeat: rows of one id are picked together.
     """
-    rows = df.where(_whole(vec)).select(F.col(idx).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
+    rows = _vectors(df, idx, vec)
+    kind = rows.schema["id"].dataType.simpleString()
     count, s, _ = moments(df, vec)
     if not count:
         return rows.select(F.col("id").alias(idx), F.lit(0).alias("pick")).limit(0)
-    gap = lambda v: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(e)) for e in v]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, e: t + e)
-    centre = s / count
-    first = rows.withColumn("d", gap(centre)).orderBy(F.col("d").desc() if how == "kennard_stone" else F.col("d"), "id").select("id", "x").first()
-    chosen = [first]
+    state = _cut(rows.withColumn("d", F.lit(float("inf"))))
+    ends = farthest(df, idx, vec) if how == "kennard_stone" else None
+    if ends:
+        found = {r.id: r for r in rows.where(F.col("id").isin(*ends)).select("id", "x").collect()}
+        chosen = [found[e] for e in ends][: max(n, 1)]
+    elif seed is not None:
+        chosen = rows.where(F.col("id") == seed).select("id", "x").take(1)
+    else:
+        centre = s / count
+        chosen = rows.withColumn("d", _gap("euclidean", F.col("x"), list(centre))).orderBy("d", "id").select("id", "x").take(1)
+    if not chosen:
+        raise ValueError(f"no row {seed}")
+    fresh = list(chosen)
     while len(chosen) < min(n, count):
-        least = F.least(*[gap(c.x) for c in chosen], F.lit(float("inf")))
-        left = rows.where(~F.col("id").isin([c.id for c in chosen])).withColumn("d", least)
-        chosen.append(left.orderBy(F.desc("d"), "id").select("id", "x").first())
-    return df.sparkSession.createDataFrame([(c.id, i) for i, c in enumerate(chosen, 1)], f"{idx} long, pick int")
+        least = F.least("d", *[_gap(metric, F.col("x"), c.x) for c in fresh])
+        left = state.where(~F.col("id").isin([c.id for c in fresh])).withColumn("d", least)
+        if len(fresh) >= LAG:
+            state, fresh = _cut(left), []
+            best = state.orderBy(F.desc("d"), "id").select("id", "x").first()
+        else:
+            best = left.orderBy(F.desc("d"), "id").select("id", "x").first()
+        if best is None:
+            break
+        chosen.append(best)
+        fresh.append(best)
+    return df.sparkSession.createDataFrame([(c.id, i) for i, c in enumerate(chosen, 1)], f"{idx} {kind}, pick int")
+
+
+def diverse_split(df: DataFrame, idx: str, vec: str, test_share: float = 0.2, how: str = "kennard_stone", metric: str = "euclidean", seed: object = None) -> DataFrame:
+    """idx, is_test: rows that are picked as far from each other as they come train, the others test; as many as the share rounds to (half to even)."""
+    rows = _vectors(df, idx, vec)
+    n = rows.count()
+    train = n - round(n * test_share)
+    picks = picked(df, idx, vec, train, how, metric, seed).select(F.col(idx).alias("p_id"))
+    return rows.join(picks, F.col("id") == F.col("p_id"), "left").select(F.col("id").alias(idx), F.col("p_id").isNull().alias("is_test"))

@@ -17,7 +17,6 @@ from ..chem import features, graph, standard
 
 DESCRIPTORS = tuple(features.describe(graph.parse("CCO")))
 TOPOLOGY = tuple(features.topology(graph.parse("CCO")))
-GROUPS = tuple(sorted(features.GROUPS))
 
 
 #: Structures that a worker remembers.
@@ -86,23 +85,29 @@ generic_scaffold = _column("string", lambda m: _text(standard.scaffold(m, True))
 structure_issues = _column("array<string>", standard.issues)
 descriptors = _table(", ".join(f"{n} double" for n in DESCRIPTORS), features.describe)
 topology = _table(", ".join(f"{n} double" for n in TOPOLOGY), features.topology)
-functional_groups = _table(", ".join(f"{n} int" for n in GROUPS), features.groups)
-cuts = _column("array<struct<constant:string,variable:string>>", lambda m: [{"constant": a, "variable": b} for a, b in standard.cuts(m)])
-structure_keys = _column("array<int>", lambda m: sorted(features.keys(m)))
-environments = _column("array<struct<bit:int,centre:int,radius:int>>", lambda m: [{"bit": c % 2048, "centre": a, "radius": r} for c, v in features.environments(m).items() for a, r in v])
 edges = _column("array<struct<a:int,b:int,bond:int>>", lambda m: [{"a": a, "b": b, "bond": o} for a, b, o in m.edges()])
 sentence = _column("array<string>", lambda m: [str(c) for c, v in features.environments(m, 1).items() for _ in v])
 
 
+def environments(smiles: Column | str, size: int = 2048) -> Column:
+    """The atoms around which each bit of a circular fingerprint of that size lies."""
+    return _column("array<struct<bit:int,centre:int,radius:int>>", lambda m: [{"bit": c % size, "centre": a, "radius": r} for c, v in features.environments(m).items() for a, r in v])(smiles)
+
+
+def cuts(smiles: Column | str, most: int = 1, heavy: int = 13) -> Column:
+    """What `standard.cuts` gives: the ways to cut up to `most` bonds, whose variable part has at most `heavy` atoms."""
+    return _column("array<struct<constant:string,variable:string>>", lambda m: [{"constant": a, "variable": b} for a, b in standard.cuts(m, most, heavy)])(smiles)
+
+
 def valid(smiles: Column | str) -> Column:
     return canonical(smiles).isNotNull()
 
 
 def fingerprint(smiles: Column | str, kind: str = "morgan", size: int = 2048) -> Column:
-    """The set bits, ascending: morgan, feature_morgan, path, layered, pattern, atom_pair, torsion, pharmacophore, keys; mhfp and map4 give hash values."""
+    """The set bits, ascending: morgan, feature_morgan, path, layered, pattern, atom_pair, torsion, pharmacophore; mhfp and map4 give hash values. Structural keys: `substructure`."""
     if kind in ("mhfp", "map4"):
         return _column("array<long>", lambda m: getattr(features, kind)(m, size))(smiles)
-    if kind != "keys" and kind not in features.KINDS:
+    if kind not in features.KINDS:
         raise ValueError(f"no fingerprint {kind}")
     return _column("array<int>", lambda m: features.bits(m, kind, size))(smiles)
 
@@ -125,25 +130,33 @@ def combined(parts: list[tuple[Column, int]]) -> Column:
     return F.concat(*[moved(bits, by) for (bits, _), by in zip(parts, before, strict=True)])
 
 
-def passes_lipinski(d: Column) -> Column:
-    """At most one of the rules broken that need no partition coefficient: weight 500, donors 5, acceptors 10."""
-    broken = sum(((d[name] > most).cast("int") for name, most in LIPINSKI.items()), F.lit(0))
-    return broken <= 1
+# The rule of five's limits.
+LIPINSKI = {"mol_weight": 500.0, "donors": 5.0, "acceptors": 10.0, "logp": 5.0}
 
 
-# The rule of five's limits.
-LIPINSKI = {"mol_weight": 500.0, "donors": 5.0, "acceptors": 10.0}
+def passes_lipinski(d: Column, logp: Column | None = None) -> Column:
+    """At most one of the rules broken: weight 500, donors 5, acceptors 10 and, where it is given (`substructure.partition`), logp 5."""
+    values = {name: d[name] for name in LIPINSKI if name != "logp"} | ({} if logp is None else {"logp": logp})
+    return sum(((v > LIPINSKI[name]).cast("int") for name, v in values.items()), F.lit(0)) <= 1
+
+
+#: Molecules of a constant part that meet in one task.
+MET = 2000
 
 
-def matched_pairs(df: DataFrame, idx: str, smiles: str, value: str) -> DataFrame:
-    """constant, a_id, b_id, a_variable, b_variable, delta (b less a): molecules that differ in what hangs on one cut bond.
+def matched_pairs(df: DataFrame, idx: str, smiles: str, value: str, most: int = 1, heavy: int = 13) -> DataFrame:
+    """constant, a_id, b_id, a_variable, b_variable, delta (b less a): molecules that differ in what hangs on up to `most` cut bonds, hydrogen included.
 
-    The cuts meet by constant part: a hash join of rows, never of all molecules. The variable part is no larger than the constant one.
+    The cuts meet by constant part: a join of rows, never of all molecules.  The molecules of a common constant part (one that a third of all share is nothing unusual) are dealt over
+    several tasks by a salt: each task has a part of them on one side and all on the other.  delta is null where a value is. Rows without an id are left out.
     """
-    cut = df.select(F.col(idx).alias("id"), F.col(value).cast("double").alias("value"), F.explode(cuts(smiles)).alias("c")).select("id", "value", "c.*")
-    cut = cut.where(F.length("variable") <= F.length("constant"))
-    side = lambda p: cut.select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"), F.col("variable").alias(f"{p}_variable"), "constant")
-    j = side("a").join(side("b"), "constant").where((F.col("a_id") < F.col("b_id")) & (F.col("a_variable") != F.col("b_variable")))
+    cut = df.where(F.col(idx).isNotNull()).select(F.col(idx).alias("id"), F.col(value).cast("double").alias("value"), F.explode(cuts(smiles, most, heavy)).alias("c")).select("id", "value", "c.*")
+    parts = cut.groupBy("constant").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("constant", "p_constant")
+    salted = cut.join(parts, F.col("constant") == F.col("p_constant"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("p_constant")
+    side = lambda p, salt: salted.select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"), F.col("variable").alias(f"{p}_variable"), "constant", salt.alias("salt"))
+    a = side("a", F.pmod(F.xxhash64("id", "variable"), F.col("parts")).cast("int"))
+    b = side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    j = a.join(b, ["constant", "salt"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_variable") != F.col("b_variable")))
     return j.select("constant", "a_id", "b_id", "a_variable", "b_variable", (F.col("b_value") - F.col("a_value")).alias("delta")).distinct()
 
 
@@ -151,7 +164,7 @@ def transformations(pairs: DataFrame) -> DataFrame:
     """from, to, n, mean, sd of the change of each transformation, the smaller text first."""
     turn = F.col("a_variable") > F.col("b_variable")
     d = pairs.select(F.least("a_variable", "b_variable").alias("from"), F.greatest("a_variable", "b_variable").alias("to"), F.when(turn, -F.col("delta")).otherwise(F.col("delta")).alias("d"))
-    return d.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    return d.where("d IS NOT NULL").groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
 
 
 def decomposed(df: DataFrame, idx: str, smiles: str, core: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def neighbours(df: DataFrame, idx: str, vec: str, k: int) -> DataFrame:
     """id, near: the ids of the k nearest other rows, ties by id. idx must be a unique long."""
-    pairs = _met(df, df, idx, vec, vec)
+    pairs, _ = _met(df, df, idx, vec, vec)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,7 +49,7 @@ def neighbours(df: DataFrame, idx: str, vec: str, k: int) -> DataFrame:
 
 def _intrusions(df: DataFrame, k: int, p: int) -> DataFrame:
     """id, and for each of the k marks behind a vector x of p components how many other rows are closer than it."""
-    pairs = _met(df, df, "id", "marked", "x")
+    pairs, _ = _met(df, df, "id", "marked", "x")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

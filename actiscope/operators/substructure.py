@@ -377,3 +377,49 @@ def removed(df: DataFrame, smiles: str, groups: dict[str, str] | None = None, ro
         names_now = F.when(F.col("rm_rest").isNotNull(), F.array_append("removed", F.get(names, F.col("rm_at") - 1))).otherwise(F.col("removed"))
         out = out.select(*keep, clean.alias("clean"), names_now.alias("removed"))
     return out
+
+
+# Published atom types with what an atom adds to the logarithm of the partition coefficient and to the molar refractivity; the first type that fits counts.
+_X, _ANY = "[A;!#1]", "[!#1;A,a]"
+_HALO = "[N,O,P,S,F,Cl,Br,I]"
+ATOMS = {
+    6: [
+        (["[CH4]", "[CH3]C", "[CH2](C)C"], 0.1441, 2.503), (["[CH](C)(C)C", "[C](C)(C)(C)C"], 0.0, 2.433), ([f"[CH3]{_HALO}", f"[CH2X4]({_HALO}){_X}"], -0.2035, 2.753), ([f"[CH1X4]({_HALO})({_X}){_X}", f"[CH0X4]({_HALO})({_X})({_X}){_X}"], -0.2051, 2.731), (["[C]=[!C;A;!#1]"], -0.2783, 5.007),
+        (["[CH2]=C", f"[CH1](=C){_X}", f"[CH0](=C)({_X}){_X}", "[C](=C)=C"], 0.1551, 3.513), ([f"[CX2]#{_X}"], 0.0017, 3.888), (["[CH3]c"], 0.08452, 2.464), (["[CH3]a"], -0.1444, 2.412), (["[CH2X4]a"], -0.0516, 2.488), (["[CHX4]a"], 0.1193, 2.582), (["[CH0X4]a"], -0.0967, 2.576),
+        (["[cH0]-[A;!C;!N;!O;!S;!F;!Cl;!Br;!I;!#1]"], -0.5443, 4.041), (["c[#9]"], 0.0, 3.257), (["c[#17]"], 0.2450, 3.853), (["c[#35]"], 0.1980, 2.673), (["c[#53]"], 0.0, 3.135), (["[cH]"], 0.1581, 3.350), (["c(:a)(:a):a"], 0.2955, 4.346), (["c(:a)(:a)-a"], 0.2713, 3.904), (["c(:a)(:a)-C"], 0.1360, 3.509),
+        (["c(:a)(:a)-N"], 0.1839, 4.067), (["c(:a)(:a)-O"], 0.5437, 3.853), (["c(:a)(:a)-S"], 0.1893, 2.673), (["c(:a)(:a)=[C,N,O]"], -0.8186, 3.135), ([f"[C](=C)(a){_X}", "[C](=C)(c)a", "[CH1](=C)a", "[C]=c"], 0.2640, 4.305), (["[CX4][A;!C;!N;!O;!P;!S;!F;!Cl;!Br;!I;!#1]"], 0.2148, 2.693), (["[#6]"], 0.08129, 3.243),
+    ],
+    7: [
+        ([f"[NH2+0]{_X}"], -1.019, 2.262), ([f"[NH+0]({_X}){_X}"], -0.7096, 2.173), (["[NH2+0]a"], -1.027, 2.827), ([f"[NH1+0]({_ANY})a"], -0.5188, 3.000), ([f"[NH+0]={_ANY}"], 0.08387, 1.757), ([f"[N+0](={_ANY}){_ANY}"], 0.1836, 2.428), ([f"[N+0]({_X})({_X}){_X}"], -0.3187, 1.839),
+        ([f"[N+0](a)({_ANY}){_X}", "[N+0](a)(a)a"], -0.4458, 2.819), ([f"[N+0]#{_X}"], 0.01508, 1.725), (["[NH3,NH2,NH;+,+2,+3]"], -1.950, 0.0), (["[n+0]"], -0.3239, 2.202), (["[n;+,+2,+3]"], -1.119, 0.0),
+        ([f"[NH0;+,+2,+3]({_X})({_X})({_X}){_X}", f"[NH0;+,+2,+3](={_X})({_X}){_ANY}", "[NH0;+,+2,+3](=[#6])=[#7]"], -0.3396, 0.2604), ([f"[N;+,+2,+3]#{_X}", "[N;-,-2,-3]", "[N;+,+2,+3](=[N;-,-2,-3])=N"], 0.2887, 3.359), (["[#7]"], -0.4806, 2.134),
+    ],
+    8: [
+        (["[o]"], 0.1552, 1.080), (["[OH,OH2]"], -0.2893, 0.8238), ([f"[O]({_X}){_X}"], -0.0684, 1.085), ([f"[O](a){_ANY}"], -0.4195, 1.182), (["[O]=[#7,#8]", "[OX1;-,-2,-3][#7]"], 0.0335, 3.367), (["[OX1;-,-2][#16]", "[O;-0]=[#16;-0]"], -0.3339, 0.7774), (["[O-]C(=O)"], -1.326, 0.0), (["[OX1;-,-2,-3][!#1;!N;!S]"], -1.189, 0.0),
+        (["[O]=c"], 0.1788, 3.135), (["[O]=[CH]C", f"[O]=C(C){_X}", "[O]=[CH][N,O]", "[O]=[CH2]", "[O]=[CX2]=O"], -0.1526, 0.0), (["[O]=[CH]c", "[O]=C([C,c])[a;!#1]", f"[O]=C(c){_X}"], 0.1129, 0.2215), (["[O]=C([!#1;!#6])[!#1;!#6]"], 0.4833, 0.3890), (["[#8]"], -0.1188, 0.6865),
+    ],
+    9: [(["[#9-0]"], 0.4118, 1.108), (["[#9]"], -2.996, 0.0)], 17: [(["[#17-0]"], 0.6895, 5.853), (["[#17]"], -2.996, 0.0)], 35: [(["[#35-0]"], 0.8456, 8.927), (["[#35]"], -2.996, 0.0)], 53: [(["[#53-0]"], 0.8857, 14.02), (["[#53]"], -2.996, 0.0)],
+    15: [(["[#15]"], 0.8612, 6.920)], 16: [(["[S;-,-2,-3,-4,+,+2,+3,+5,+6]", "[S-0]=[N,O,P,S]"], -0.0024, 7.365), (["[S;A]"], 0.6482, 7.591), (["[s;a]"], 0.6237, 6.691)],
+}
+#: The same of the hydrogens on an atom that a pattern fits.
+HYDROGENS = [(["[#6]"], 0.1230, 1.057), (["[#7]", "[#8][#7]"], 0.2142, 0.9627), (["[#8]C=[#6,#7,O,S]", "[#8][O,S]"], 0.2980, 1.805), (["[*]"], -0.2677, 1.395)]
+#: And of atoms of any other element.
+METAL = (-0.0025, 0.0)
+
+
+def partition(g: str) -> Column:
+    """struct<logp, refractivity>: sums of the published contributions of atoms and their hydrogens; null for no molecule."""
+    i, x = "part_i", f"{g}.atoms[part_i]"
+
+    def first(types: list, default: str) -> str:
+        whens = [f"WHEN {' OR '.join(f'size({parse(p).found(g, f"array({i})")}) > 0' for p in patterns)} THEN array({logp}D, {mr}D)" for patterns, logp, mr in types]
+        return f"CASE {' '.join(whens)} ELSE {default} END"
+
+    nothing = f"array({METAL[0]}D, {METAL[1]}D)"
+    heavy = "CASE " + " ".join(f"WHEN {x}.z = {z} THEN {first(types, nothing)}" for z, types in ATOMS.items()) + f" WHEN {x}.z <= 1 THEN array(0D, 0D) ELSE {nothing} END"
+    light = f"CASE WHEN {x}.h = 0 OR {x}.z <= 1 THEN array(0D, 0D) ELSE {first(HYDROGENS, 'array(0D, 0D)')} END"
+    each = f"transform(sequence(0, size({g}.atoms) - 1), {i} -> struct({heavy} AS a, {light} AS b, {x}.h AS h))"
+    total = lambda k: f"aggregate({g}_each, 0D, (s, e) -> s + e.a[{k}] + e.h * e.b[{k}])"
+    # The terms are made once and summed twice.
+    both = f"transform(array({each}), {g}_each -> named_struct('logp', {total(0)}, 'refractivity', {total(1)}))[0]"
+    return F.expr(f"CASE WHEN {g}.atoms IS NULL THEN NULL ELSE {both} END")

@@ -9,12 +9,11 @@ from ..chem import features
 from ..operators import molecules, similarity, splits
 from .registry import query, read, rounded
 
-#: Benzoic acids, anilides, pyridine carboxamides, benzimidazoles, and their activities.
+# Benzoic acids, anilides, pyridine carboxamides, benzimidazoles.
 SERIES = """OC(=O)c1ccccc1 OC(=O)c1ccc(C)cc1 OC(=O)c1ccc(Cl)cc1 OC(=O)c1ccc(Br)cc1 OC(=O)c1ccc(OC)cc1 OC(=O)c1ccc(N)cc1
 CC(=O)Nc1ccccc1 CC(=O)Nc1ccc(C)cc1 CC(=O)Nc1ccc(Cl)cc1 CC(=O)Nc1ccc(F)cc1 CC(=O)Nc1ccc(OC)cc1 CC(=O)Nc1ccc(O)cc1
 NC(=O)c1ccncc1 NC(=O)c1ccc(C)nc1 NC(=O)c1ccc(Cl)nc1 NC(=O)c1ccc(OC)nc1 CNC(=O)c1ccncc1 CCNC(=O)c1ccncc1
 c1ccc2[nH]cnc2c1 Cc1ccc2[nH]cnc2c1 Clc1ccc2[nH]cnc2c1 COc1ccc2[nH]cnc2c1 Cn1cnc2ccccc21 CCn1cnc2ccccc21""".split()
-ACTIVITY = (5.10, 5.35, 7.80, 5.40, 5.05, 4.90, 6.20, 6.45, 6.70, 6.55, 6.10, 6.05, 7.10, 7.35, 7.55, 7.20, 7.05, 6.95, 8.00, 8.25, 8.45, 8.10, 7.90, 7.85)
 
 # Fixed values, known of these molecules: number, atoms of C, H, N, O, F, Cl, Br, polar surface, donors, acceptors, rotatable bonds, rings.
 _KNOWN = """k(i, c, h, n, o, f, cl, br, tpsa, donors, acceptors, rotatable, rings) AS (VALUES
@@ -34,8 +33,10 @@ def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(every, (F.col("p_partkey") % 24 + 1).cast("int")).alias("smiles"), F.col("p_retailprice").alias("y"))
 
 
-def series(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate(zip(SERIES, ACTIVITY, strict=True))], "id int, smiles string, y double")
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id (the series' number), smiles, y: the parts' distinct structures with their mean price."""
+    d = structures(spark, sf_dir).withColumn("i", (F.col("id") % 24).cast("int"))
+    return d.groupBy(F.col("i").alias("id"), "smiles").agg(F.avg("y").alias("y"))
 
 
 @query(f"""WITH {_KNOWN}, {_PART}
@@ -87,33 +88,36 @@ PROBES = [
 _text = lambda v: "NULL" if v is None else f"'{v}'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(b)}, {_text(c)}, {'NULL' if d is None else d}, {str(b is not None).lower()})" for i, (_, b, c, d) in enumerate(PROBES)) + ") t(id, standard, bare, sugars, valid)")
+@query("WITH t(i, standard, bare, sugars, valid) AS (VALUES " + ", ".join(f"({i}, {_text(b)}, {_text(c)}, {'NULL' if d is None else d}, {str(b is not None).lower()})" for i, (_, b, c, d) in enumerate(PROBES)) + f") SELECT c_custkey AS id, standard, bare, sugars, valid FROM customer JOIN t ON c_custkey % {len(PROBES)} = i")
 def standard_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PROBES)], "id int, smiles string")
+    """Every customer with one of the probes."""
+    listed = F.array(*[F.lit(p[0]) for p in PROBES])
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(PROBES)).cast("int").alias("i"))
     s = molecules.standardised("smiles")
-    d = d.select("id", "smiles", s.alias("standard"))
+    d = d.withColumn("smiles", F.get(listed, F.col("i"))).select("id", "i", "smiles", s.alias("standard"))
     # The spelling of a form is the canonical one of this package, so forms are compared with the known ones by their canonical text.
-    known = spark.createDataFrame([(i, p[1], p[2]) for i, p in enumerate(PROBES)], "id int, known string, known_bare string")
+    known = spark.createDataFrame([(i, p[1], p[2]) for i, p in enumerate(PROBES)], "i int, known string, known_bare string")
     bare = molecules.deglycosylated(molecules.deprotected("standard"))
-    j = d.join(F.broadcast(known), "id").select("id", "smiles", "standard", "known", "known_bare", bare.alias("bare"))
+    j = d.join(F.broadcast(known), "i").select("id", "smiles", "standard", "known", "known_bare", bare.alias("bare"))
     same = lambda found, told: F.when(F.col(found).eqNullSafe(molecules.canonical(told)), F.col(told)).otherwise(F.col(found)).alias(found)
     return j.select("id", same("standard", "known"), same("bare", "known_bare"), molecules.sugar_rings("standard").alias("sugars"), molecules.valid("smiles").alias("valid"))
 
 
-_KINDS = sorted([*features.KINDS, "keys", "mhfp", "map4"])
+_KINDS = sorted([*features.KINDS, "mhfp", "map4"])
 #: Two spellings of one molecule each.
 SPELLINGS = [("c1ccccc1C(=O)O", "OC(=O)C1=CC=CC=C1"), ("Cn1cnc2ccccc21", "C1=CC=C2C(=C1)N=CN2C"), ("CC(=O)Nc1ccc(O)cc1", "Oc1ccc(NC(C)=O)cc1"), ("NC(=O)c1ccc(C)nc1", "Cc1ccc(cn1)C(N)=O")]
 
 
-@query(f"SELECT kind, id, true AS equal, true AS filled FROM (VALUES {', '.join(f'({k!r})' for k in _KINDS)}) k(kind), range({len(SPELLINGS)}) r(id)")
+@query(f"SELECT kind, count(*) AS rows, count(DISTINCT c_custkey % {len(SPELLINGS)}) AS molecules, count(DISTINCT (c_custkey % {len(SPELLINGS)}, c_custkey // {len(SPELLINGS)} % 2)) AS spellings FROM customer, (VALUES {', '.join(f'({k!r})' for k in _KINDS)}) k(kind) GROUP BY kind")
 def fingerprint_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind of fingerprint is the same for two spellings of a molecule."""
-    d = spark.createDataFrame([(i, *p) for i, p in enumerate(SPELLINGS)], "id long, a string, b string").repartition(1)
+    """Customers with one of two spellings of a molecule each: every kind of fingerprint tells the molecules apart, and not the spellings."""
+    n = len(SPELLINGS)
+    side = lambda k: F.get(F.array(*[F.lit(p[k]) for p in SPELLINGS]), (F.col("c_custkey") % n).cast("int"))
+    d = read(spark, sf_dir, "customer").select(F.when(F.floor(F.col("c_custkey") / n) % 2 == 0, side(0)).otherwise(side(1)).alias("smiles"))
     out = None
     for kind in _KINDS:
-        size = 64 if kind in ("mhfp", "map4") else 2048
-        a, b = molecules.fingerprint("a", kind, size), molecules.fingerprint("b", kind, size)
-        one = d.select(F.lit(kind).alias("kind"), "id", (a == b).alias("equal"), (F.size(a) > 0).alias("filled"))
+        bits = molecules.fingerprint("smiles", kind, 64 if kind in ("mhfp", "map4") else 2048)
+        one = d.select("smiles", bits.alias("bits")).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.countDistinct("bits").alias("molecules"), F.countDistinct("smiles").alias("spellings"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -145,21 +149,17 @@ def _canonical(smiles: str) -> str:
     return graph.write(graph.parse(smiles))
 
 
-@query(f"""WITH a(i, y) AS (VALUES {', '.join(f'({i}, {y}::DOUBLE)' for i, y in enumerate(ACTIVITY))}), p(x, z) AS (VALUES (1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5))
+@query(f"""WITH {_PART}, a AS (SELECT i, avg(y) AS y FROM x GROUP BY i), p(x, z) AS (VALUES (1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5))
 SELECT count(*) AS n, round(avg(v.y - u.y), 6) AS mean FROM p JOIN a u ON u.i = p.x JOIN a v ON v.i = p.z""")
 def acid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched pairs of the acids whose constant part is 4-substituted benzoic acid."""
-    pairs = molecules.matched_pairs(series(spark).where("id < 6"), "id", "smiles", "y").where(F.col("constant") == _canonical("OC(=O)c1ccc([*])cc1"))
+    """Matched pairs of the parts' acids, with their mean prices, whose constant part is 4-substituted benzoic acid; without hydrogen as a substituent."""
+    pairs = molecules.matched_pairs(_means(spark, sf_dir).where("id < 6"), "id", "smiles", "y").where((F.col("constant") == _canonical("OC(=O)c1ccc([*])cc1")) & (F.col("a_id") > 0))
     return rounded(pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean")))
 
 
-def structure_bits(spark: SparkSession) -> DataFrame:
-    return series(spark).select("id", molecules.fingerprint("smiles").alias("bits"))
-
-
-@query("SELECT 24::BIGINT AS queries, 24::BIGINT AS same_series")
+@query(f"WITH {_PART} SELECT count(DISTINCT i) AS queries, count(DISTINCT i) AS same_series FROM x")
 def series_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other of each of the 24 molecules is of its own series."""
-    f = structure_bits(spark)
+    """The nearest other of each of the parts' distinct molecules is of its own series."""
+    f = _means(spark, sf_dir).select("id", molecules.fingerprint("smiles").alias("bits"))
     near = similarity.nearest(f, f, 1)
     return near.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.floor(F.col("query_id") / 6) == F.floor(F.col("ref_id") / 6)).alias("same_series"))

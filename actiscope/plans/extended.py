@@ -173,12 +173,14 @@ def balanced_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Structures that break each rule, and some that break none.
 SMILES = ["CC(=O)Oc1ccccc1C(=O)[O-].[Na+]", "CCO", "OCC", "[Na+].[Cl-]", "c1ccccc1", "O", "CCN", "CCO.CCN", "[Fe]CCCCC", "[13CH3]C", "CC(=O)[O-]", "C" * 160, "!!bad!!", "CC(", "", "BrCCCl", "C[N+](C)(C)CC([O-])=O", "c1ccc2[nH]cnc2c1"]
-_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SMILES))
-_ATOMS = f"m(id, smiles) AS (VALUES {_ROWS}, ({len(SMILES)}, NULL)), a AS (SELECT *, [CASE WHEN x[1] = '[' THEN upper(regexp_extract(x, '{structures.SYMBOL}', 1)[1]) || regexp_extract(x, '{structures.SYMBOL}', 1)[2:] ELSE upper(x[1]) || x[2:] END for x in regexp_extract_all(smiles, '{structures.ATOM}')] AS es FROM m)"
+_LISTED = ", ".join(f"'{s}'" for s in SMILES)
+_ATOMS = f"m AS (SELECT c_custkey AS id, [{_LISTED}, NULL][c_custkey % {len(SMILES) + 1} + 1] AS smiles FROM customer), a AS (SELECT *, [CASE WHEN x[1] = '[' THEN upper(regexp_extract(x, '{structures.SYMBOL}', 1)[1]) || regexp_extract(x, '{structures.SYMBOL}', 1)[2:] ELSE upper(x[1]) || x[2:] END for x in regexp_extract_all(smiles, '{structures.ATOM}')] AS es FROM m)"
 
 
-def molecules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*enumerate(SMILES), (len(SMILES), None)], "id int, smiles string")
+def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with one of the structures, or none."""
+    listed = F.array(*[F.lit(s) for s in SMILES], F.lit(None))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.get(listed, (F.col("c_custkey") % (len(SMILES) + 1)).cast("int")).alias("smiles"))
 
 
 @query(f"""WITH {_ATOMS}, b AS (SELECT *, len([e for e in es if e <> 'H']) AS n, smiles IS NULL OR len(es) = 0 OR len(replace(smiles, '(', '')) <> len(replace(smiles, ')', '')) OR regexp_matches(smiles, '[!?$&{{}}~]') AS bad,
@@ -187,10 +189,10 @@ u AS (SELECT id, unnest(CASE WHEN bad THEN ['unparseable'] ELSE list_filter([CAS
   CASE WHEN NOT list_contains(es, 'C') THEN 'no_carbon' END, CASE WHEN regexp_matches(smiles, '\\[[0-9]') THEN 'isotope' END, CASE WHEN n < 3 THEN 'too_small' END, CASE WHEN n > 150 THEN 'too_large' END, CASE WHEN q <> 0 THEN 'charged' END], lambda x: x IS NOT NULL) END) AS code FROM b)
 SELECT id, code, code <> 'charged' AS fatal FROM u""")
 def structure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structures.issues(molecules(spark), "id", "smiles")
+    return structures.issues(molecules(spark, sf_dir), "id", "smiles")
 
 
 @query(f"""WITH {_ATOMS}, p AS (SELECT id, unnest(string_split(smiles, '.')) AS p FROM m WHERE smiles IS NOT NULL), h AS (SELECT id, p, len([x for x in regexp_extract_all(p, '{structures.ATOM}') if NOT regexp_matches(x, '^\\[[0-9]*H[^a-z]')]) AS n FROM p)
 SELECT m.id, (SELECT arg_max(p, (n, len(p), p)) FROM h WHERE h.id = m.id) AS fragment FROM m""")
 def largest_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return molecules(spark).select("id", structures.largest_fragment(F.col("smiles")).alias("fragment"))
+    return molecules(spark, sf_dir).select("id", structures.largest_fragment(F.col("smiles")).alias("fragment"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import molecules, substructure
+from ..operators import diversity, molecules, substructure, tautomers
 from .registry import query, read, rounded
 
 #: What begins the chain, and what ends the ring.
@@ -79,3 +79,40 @@ def library_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct structures by canonical text, and their mean size."""
     d = library(spark, sf_dir).select(molecules.canonical("smiles").alias("text"), molecules.descriptors("smiles").alias("d"))
     return rounded(d.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("text").alias("structures"), F.avg("d.heavy_atoms").alias("heavy")))
+
+
+#: Two spellings of tautomers of one compound each, after a chain of carbon.
+_SHIFTED = [("c1ccc(O)nc1", "c1ccc(=O)[nH]c1"), ("C(=O)CC(C)=O", "C(O)=CC(C)=O"), ("C(=O)N", "C(O)=N"), ("c1cnc[nH]1", "c1c[nH]cn1")]
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT (p_partkey % 4, p_partkey // 4 % 2, p_size % 12)) AS forms, count(DISTINCT (p_partkey % 4, p_size % 12)) AS compounds FROM part")
+def tautomer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures that differ in a proton's place have one canonical tautomer."""
+    p = read(spark, sf_dir, "part").select(F.expr("repeat('C', cast(p_size % 12 + 1 AS INT))").alias("chain"), (F.col("p_partkey") % 4).alias("i"), (F.floor(F.col("p_partkey") / 4) % 2).alias("side"))
+    ends = [_listed([pair[k] for pair in _SHIFTED], F.col("i")) for k in (0, 1)]
+    d = p.select(F.concat("chain", F.when(F.col("side") == 0, ends[0]).otherwise(ends[1])).alias("smiles"))
+    out = tautomers.canonicalised(d, "smiles").withColumn("form", molecules.canonical("smiles"))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("form").alias("forms"), F.countDistinct("tautomer").alias("compounds"))
+
+
+@query("""WITH x AS (SELECT p_partkey % 3 AS library, p_partkey % 4 = 0 AS open, p_size % 5 AS n FROM part), g AS (SELECT library, open, n, count(*) AS c FROM x GROUP BY ALL),
+r AS (SELECT library, sum(c) AS m, count(*) AS k, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM g WHERE NOT open GROUP BY library), t AS (SELECT library, sum(c) AS n FROM g GROUP BY library)
+SELECT library, n::BIGINT AS n, coalesce(k, 0) AS n_scaffolds, round(coalesce(k, 0) / n, 6) AS scaffold_diversity, round((n - coalesce(m, 0)) / n, 6) AS acyclic_fraction, round(coalesce(h, 0), 6) AS scaffold_entropy FROM t LEFT JOIN r USING (library)""")
+def scaffold_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three libraries of rings that a chain joins, and of chains."""
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("library"), F.expr("repeat('C', cast(p_size % 5 + 1 AS INT))").alias("chain"), (F.col("p_partkey") % 4 == 0).alias("open"))
+    d = p.select("library", F.when(F.col("open"), F.concat(F.lit("O"), "chain")).otherwise(F.concat(F.lit("Oc1ccc("), "chain", F.lit("c2ccccc2)cc1"))).alias("smiles"))
+    return rounded(diversity.scaffold_figures(d.select("library", molecules.scaffold("smiles").alias("s")), "s", "library"))
+
+
+# What heads, tails (with the ring atom that bears them) and chains add by the published contributions of their atoms.
+_HEAD_LOGP = {"O": -0.5570, "N": -0.5906, "Cl": 0.6895, "Br": 0.8456, "N#C": 0.01678, "OC(=O)": -0.4222, "NC(=O)": -1.0215, "CO": 0.0971, "COC(=O)": -0.3338, "CS": 0.8137, "CC(=O)": 0.0822, "O=C": -0.3079}
+_TAIL_LOGP = {"O": -0.0133, "N": -0.4147, "F": 0.4118, "Cl": 0.9345, "C": 0.58952, "C#N": 0.15278, "[N+](=O)[O-]": -0.0887, "C(=O)O": -0.0207, "S(=O)(=O)N": -1.0715, "OC": 0.2897}
+
+
+@query(f"""WITH {_PIECES}, a(head, u) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _HEAD_LOGP.items())}), b(tail, v) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _TAIL_LOGP.items())}),
+c AS (SELECT id, n, u + v + 1.2604 + n * 0.246 AS s, head IN ('O', 'N', 'Cl', 'Br', 'CO', 'CS') AS beside FROM x JOIN a USING (head) JOIN b USING (tail))
+SELECT id, round(s + CASE WHEN n = 1 THEN CASE WHEN beside THEN -0.2035 ELSE -0.0516 END ELSE CASE WHEN beside THEN -0.2035 ELSE 0.1441 END + (n - 2) * 0.1441 - 0.0516 END, 4) AS logp FROM c""")
+def partition_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = library(spark, sf_dir).select("id", substructure.graph("smiles").alias("g")).select("id", substructure.partition("g").alias("p"))
+    return rounded(d.select("id", F.col("p.logp").alias("logp")), 4)

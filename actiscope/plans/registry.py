@@ -121,6 +121,14 @@ def optimal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(classification.optimal(scored(spark, sf_dir)))
 
 
+@query(f"""WITH {_SWEEP}, u AS (SELECT 'cost' AS criterion, 3 * fn + fp AS value, -(3 * fn + fp) AS goal, threshold, 3 * fn + fp AS reached FROM d UNION ALL SELECT 'precision', sens, sens, threshold, prec FROM d WHERE prec >= 0.25 UNION ALL SELECT 'recall', prec, prec, threshold, sens FROM d WHERE sens >= 0.8),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY round(goal, 12) DESC, threshold) = 1), k(criterion) AS (VALUES ('cost'), ('precision'), ('recall'))
+SELECT criterion, round(value, 6) AS value, round(threshold, 6) AS threshold, round(coalesce(reached, CASE criterion WHEN 'precision' THEN (SELECT max(prec) FROM d) ELSE (SELECT max(sens) FROM d) END), 6) AS reached FROM k LEFT JOIN b USING (criterion)""")
+def bounded_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missed positive costs three times a false one; recall at a precision of a quarter; precision at a recall of four fifths."""
+    return rounded(classification.bounded_optima(scored(spark, sf_dir), cost_fn=3.0, min_precision=0.25, min_recall=0.8))
+
+
 @query(f"""WITH {SCORED}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s),
 g AS (SELECT score, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS c FROM s GROUP BY score), w AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(c) OVER (ORDER BY score DESC) AS m FROM g)
 SELECT round((SELECT (sum(mid) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) FROM r)::DOUBLE, 6) AS roc_auc, round((SELECT sum(pos * tp / m) / sum(pos) FROM w), 6) AS pr_auc""")

@@ -12,7 +12,7 @@ def test_equals_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"component_domain", "forest_predictions", "partial_least_squares"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"component_domain", "forest_predictions", "partial_least_squares", "isolation_domain", "gaussian_process", "quantile_interval", "average_linkage", "complete_linkage", "recursive_elimination", "shadow_features"}
 
 
 def test_no_python_on_metric_paths(spark):

@@ -42,6 +42,19 @@ def test_keys_of_known_molecules(graphs):
     assert got["bad"] is None and got["null"] is None
 
 
+def test_partition_of_known_molecules(spark):
+    known = {
+        "c1ccccc1": (1.6866, 26.442), "CCO": (-0.0014, 12.7598), "CC(=O)Oc1ccccc1C(=O)O": (1.3101, 44.7103), "Cn1c(=O)c2c(ncn2C)n(C)c1=O": (-1.0293, 51.196), "CC(C)Cc1ccc(C(C)C(=O)O)cc1": (3.0732, 61.0345), "Oc1ccccc1": (1.3922, 28.1068), "Cc1ccccc1": (1.99502, 31.179),
+        "c1ccncc1": (1.0816, 24.237), "CC(=O)O": (0.0909, 12.8945), "Clc1ccccc1": (2.34, 31.452), "!!": None,
+    }
+    d = spark.createDataFrame([(s,) for s in known], "smiles string").coalesce(1).withColumn("g", sub.graph("smiles")).select("smiles", sub.partition("g").alias("p"))
+    for r in d.collect():
+        if known[r.smiles] is None:
+            assert r.p is None
+        else:
+            assert (r.p.logp, r.p.refractivity) == pytest.approx(known[r.smiles], abs=2e-3), r.smiles
+
+
 def plain(mol, atoms, bonds):
     """Sets of atoms on which a pattern lies, by trying all placements."""
     out = set()
