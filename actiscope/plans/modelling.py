@@ -29,9 +29,9 @@ d AS (SELECT p.r, id, own, -m / 0.5 + ln(sum(exp((m - d) / 0.5)) / (SELECT count
 SELECT id, round(log_density, 6) AS log_density, log_density >= (SELECT quantile_cont(log_density, 0.05) FROM d WHERE own) - 1e-9 AS inside FROM d""")
 def density_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows, and those of one label again under their ids and far away: these have a density too, and lie outside."""
-    d = rows(spark, sf_dir)
+    d = rows(spark, sf_dir).withColumn("x", F.col("x").cast("array<double>"))
     train = d.where("y < 7")
-    every = d.unionByName(d.where("y = 0").withColumn("x", F.transform(F.col("x").cast("array<double>"), lambda z: z * 30).cast("array<double>")).withColumn("x", F.col("x").cast(d.schema["x"].dataType)))
+    every = d.unionByName(d.where("y = 0").withColumn("x", F.transform("x", lambda z: z * 30)))
     least = distances.quantiles(distances.density(train, train, "id", "x", 0.5), "log_density", {"least": 0.05})
     return rounded(distances.density(every, train, "id", "x", 0.5).join(F.broadcast(least)).select("id", "log_density", (F.col("log_density") >= F.col("least") - 1e-9).alias("inside")))
 

@@ -112,7 +112,7 @@ _TAIL_LOGP = {"O": -0.0133, "N": -0.4147, "F": 0.4118, "Cl": 0.9345, "C": 0.5895
 
 @query(f"""WITH {_PIECES}, a(head, u) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _HEAD_LOGP.items())}), b(tail, v) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _TAIL_LOGP.items())}),
 c AS (SELECT id, n, u + v + 1.2604 + n * 0.246 AS s, head IN ('O', 'N', 'Cl', 'Br', 'CO', 'CS') AS beside FROM x JOIN a USING (head) JOIN b USING (tail))
-SELECT id, round(s + CASE WHEN n = 1 THEN CASE WHEN beside THEN -0.2035 ELSE -0.0516 END ELSE CASE WHEN beside THEN -0.2035 ELSE 0.1441 END + (n - 2) * 0.1441 - 0.0516 END, 4) AS logp FROM c""")
+SELECT id, round(s + CASE WHEN n = 1 THEN -0.0516 ELSE CASE WHEN beside THEN -0.2035 ELSE 0.1441 END + (n - 2) * 0.1441 - 0.0516 END, 4) AS logp FROM c""")
 def partition_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = library(spark, sf_dir).select("id", substructure.graph("smiles").alias("g")).select("id", substructure.partition("g").alias("p"))
     return rounded(d.select("id", F.col("p.logp").alias("logp")), 4)

@@ -204,8 +204,9 @@ def contains(s: MoleculeSet, smarts: str) -> MoleculeSet:
 @step
 def featurize(s: MoleculeSet, kind: str = "morgan", size: int = 2048) -> FeatureSet:
     """The bits of a fingerprint as features; rows without a molecule have none and are left out."""
-    bits = mol.dense(mol.fingerprint(s.smiles, kind, size), size).cast("array<double>")
-    return FeatureSet(s.frame.where("valid").withColumn("features", bits), s.idx, s.y, (), "features", tuple(f"{kind}_{i}" for i in range(size)))
+    d = s.frame.where("valid").withColumn("set_bits", mol.fingerprint(s.smiles, kind, size))
+    d = d.withColumn("features", mol.dense("set_bits", size).cast("array<double>")).drop("set_bits")
+    return FeatureSet(d, s.idx, s.y, (), "features", tuple(f"{kind}_{i}" for i in range(size)))
 
 
 @step

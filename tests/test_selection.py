@@ -31,5 +31,5 @@ def test_elimination(planted):
 def test_shadows(planted):
     out = selection.shadowed(planted, "id", "x", "y", 12, numTrees=8, maxDepth=4)
     assert [c for c, _, d in out if d == "Confirmed"] == [1, 4] and all(h == 12 for c, h, _ in out if c in (1, 4))
-    assert sum(d == "Rejected" for *_, d in out) >= 2
+    assert sum(d == "Rejected" for *_, d in out) >= 1 and all(h < 12 for c, h, _ in out if c not in (1, 4))
     assert selection.two_sided(0, 10) == pytest.approx(2 / 1024) and selection.two_sided(5, 10) == 1 and selection.two_sided(1, 10) == pytest.approx(22 / 1024)
