@@ -319,11 +319,16 @@ KEYS = {
 }
 
 
+#: Keys that are rings whole: their atoms and bonds are looked for in rings only, so that chains aren't walked.
+RING_KEYS = {8, 11, 16, 19, 22, 83, 96, 98, 145, 163}
+
+
 def structural_keys(g: str) -> Column:
     """The keys that are set, ascending, of 1 to 166; 125: two aromatic rings or more, 166: several fragments."""
     # A ring of n atoms is aromatic if it has n aromatic bonds; each is found 2 n times, once for every start and direction.
     aromatic = sum((count(g, f"a1{':a' * (n - 2)}:a:1") for n in range(3, 8)), F.lit(0))
-    on = [F.when(has(g, smarts, more + 1), key) for key, (smarts, more) in KEYS.items()]
+    in_rings = lambda key, smarts: smarts.replace("*", "[R]").replace("~", "@") if key in RING_KEYS else smarts
+    on = [F.when(has(g, in_rings(key, smarts), more + 1), key) for key, (smarts, more) in KEYS.items()]
     on += [F.when(aromatic > 1, 125), F.when(F.col(g)["fragments"] > 1, 166)]
     return F.when(F.col(g)["atoms"].isNotNull(), F.array_sort(F.array_compact(F.array(*on))))
 

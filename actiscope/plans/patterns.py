@@ -34,7 +34,9 @@ def _listed(texts: list[str], i: Column) -> Column:
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, smiles of every part."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(HEADS)).alias("i"), (F.floor(F.col("p_partkey") / len(HEADS)) % len(TAILS)).alias("j"), (F.col("p_size") % 30 + 1).cast("int").alias("n"))
-    return p.select("id", F.concat(_listed(HEADS, F.col("i")), F.expr("repeat('C', n)"), F.lit("c1ccc("), _listed(TAILS, F.col("j")), F.lit(")cc1")).alias("smiles"))
+    d = p.select("id", F.concat(_listed(HEADS, F.col("i")), F.expr("repeat('C', n)"), F.lit("c1ccc("), _listed(TAILS, F.col("j")), F.lit(")cc1")).alias("smiles"))
+    # Few bytes and much work a row: dealt over all cores, however small the file is.
+    return d.repartition(spark.sparkContext.defaultParallelism, "id")
 
 
 _PIECES = f"""h(i, head) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(HEADS))}), t(j, tail) AS (VALUES {', '.join(f"({j}, '{t}')" for j, t in enumerate(TAILS))}),
