@@ -1,6 +1,6 @@
 """How diverse libraries are: pairwise distances, bits, scaffolds; one row a library.
 
-Only pairs that share a bit are joined, and they are counted by their similarity at once: all other pairs have the distance 1 (0, if both sets are empty), so their number follows from the
+Pairs that share a bit are counted by their sizes and common bits as the sets meet: all other pairs have the distance 1 (0, if both sets are empty), so their number follows from the
 sizes.  Mean, median and least distance come from the table of counts, which has as many rows as there are different similarities, not pairs.
 
 Rows without an id or bits take no part; ids must be unique; a null library is one of its own. A library of one row has null distances.
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similarity
+
 
 def _entropy(p: Column) -> Column:
     """-p ln p, 0 at 0."""
@@ -21,11 +23,10 @@ def compared(fp: DataFrame, size: int, library: str) -> DataFrame:
     """library, n, mean_distance, median_distance, min_distance (Jaccard, of all pairs of a library), bit_entropy (mean over `size` bits, natural logarithm). fp: id, bits, library."""
     d = fp.where("id IS NOT NULL AND bits IS NOT NULL").select("id", F.size("bits").alias("n"), "bits", F.col(library).alias("lib"))
     rows = d.groupBy("lib").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == 0).alias("bare"))
-    bits = d.select("id", "n", "lib", F.explode("bits").alias("bit"))
-    a, b = (bits.select(*[F.col(c).alias(f"{s}_{c}") for c in bits.columns]) for s in "ab")
-    met = a.join(b, F.col("a_lib").eqNullSafe(F.col("b_lib")) & (F.col("a_bit") == F.col("b_bit")) & (F.col("a_id") < F.col("b_id")))
-    both = met.groupBy("a_lib", "a_id", "b_id", "a_n", "b_n").agg(F.count(F.lit(1)).alias("c"))
-    shared = both.groupBy(F.col("a_lib").alias("lib"), (1 - F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
+    bits = d.select("lib", F.explode("bits").alias("bit"))
+    both = similarity.shared_bits(d.select("id", "bits", "lib"), "lib")
+    shared = both.groupBy(F.col("a_lib").alias("lib"), "a_n", "b_n", "c").agg(F.count(F.lit(1)).alias("pairs"))
+    shared = shared.groupBy("lib", (1 - F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("distance")).agg(F.sum("pairs").alias("pairs"))
     # The other pairs of a library: two empty sets are equal, the rest share nothing.
     half = lambda n: F.col(n) * (F.col(n) - 1) / 2
     known = shared.groupBy(F.col("lib").alias("k_lib")).agg(F.sum("pairs").alias("known"))

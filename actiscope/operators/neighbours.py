@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import nearest
+from .similarity import closest, nearest
 
 
 def vote(near: DataFrame, labels: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def mean(near: DataFrame, values: DataFrame) -> DataFrame:
 
 def closeness(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """id, similarity: the mean similarity of the k nearest others; those that share no bit count as 0, as do missing ones."""
-    g = nearest(queries, refs, k).groupBy(F.col("query_id").alias("id")).agg((F.sum("similarity") / k).alias("s"))
+    g = closest(queries, refs).withColumnRenamed("similarity", "s") if k == 1 else nearest(queries, refs, k).groupBy(F.col("query_id").alias("id")).agg((F.sum("similarity") / k).alias("s"))
     return queries.select("id").join(g, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("similarity"))
 
 
