@@ -60,7 +60,7 @@ def balanced(df: DataFrame, label: str, idx: str, seed: int = 0) -> DataFrame:
     before = Window.orderBy("s_c").rowsBetween(Window.unboundedPreceding, -1)  # a row per class
     least = classes.agg(F.min("s_n").alias("s_m"))
     places = classes.select("s_c", F.coalesce(F.sum("s_n").over(before), F.lit(0)).alias("s_o")).join(F.broadcast(least))
-    r = ranked(d.withColumns({"s_l": F.col(label), "s_h": shuffled(idx, seed), "s_i": F.col(idx)}), ["s_l", "s_h", "s_i"], "s_r")
+    r = ranked(d.withColumns({"s_l": F.col(label), "s_h": shuffled(idx, seed), "s_i": F.col(idx)}), ["s_l", "s_h", "s_i"], "s_r", F.struct("s_l", F.substring("s_h", 1, 2).alias("s_p")))
     return r.join(F.broadcast(places), F.col("s_l") == F.col("s_c")).where(F.col("s_r") - F.col("s_o") <= F.col("s_m")).select(*df.columns)
 
 
