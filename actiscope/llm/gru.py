@@ -11,7 +11,7 @@ number of units is fixed, as are the state's and the embedding's width; the coun
    training texts, and the texts as indices into those.
 2. Counts.  (word, count) rows of the blocks are summed by word, on the map side first.  The HEAD most frequent words' counts are broadcast (a bound
    on the table, whatever the vocabulary); a word of one block only has its whole count there; the few others are looked up by a join.
-3. Training.  A first block warms the weights up on the driver; then every block trains a copy on a TRAIN_EVERYth of its training texts, by truncated
+3. Training.  A first block warms the weights up on the driver; then every block trains a copy on all of its training texts, by truncated
    backpropagation (windows of WINDOW tokens, the state carried from one to the next over stretches of STRETCH words), and the weights are averaged by tokens seen, summed as
    integers so that their order doesn't matter.
 4. Scoring.  Documents run through the network in parallel lanes, the state carried through the whole text, so a score is the log-likelihood of
@@ -53,8 +53,8 @@ WINDOW = 16
 LANES = 384
 #: Words of a text that training reads in a row.
 STRETCH = 1024
-#: One in so many stretches trains the weights, in every block: counts are of all texts, the weights of a fixed share of them.
-TRAIN_EVERY = 2
+#: One in so many stretches trains the weights, in every block: all of them.
+TRAIN_EVERY = 1
 #: Words whose counts are broadcast, at most, and the bits of the map of the others that several blocks have (a power of two).
 HEAD = 1 << 18
 MAP_BITS = 26
