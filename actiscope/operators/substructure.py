@@ -60,6 +60,18 @@ def graph(smiles: Column | str) -> Column:
     return F.pandas_udf(work, GRAPH).asNondeterministic()(smiles)
 
 
+def once(df: DataFrame, smiles: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that `work` adds to a table of its distinct texts: each text is read and searched once, however many rows have it.
+
+    Few bytes and much work a text: they are dealt over all cores, however few there are. Null texts have nulls.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # By a hash: partitions by the text itself are those of distinct(), which are merged where they are small.
+    found = work(df.where(F.col(smiles).isNotNull()).select(smiles).distinct().repartition(tasks, F.xxhash64(smiles)))
+    return df.join(found, smiles, "left").select(*df.columns, *[c for c in found.columns if c != smiles])
+
+
 #: A condition as SQL text: on an atom, from the names of a graph and of the atom's number; on a bond, from one of an atom's neighbours.
 Condition = Callable[[str, str], str]
 Bond = Callable[[str], str]
@@ -366,9 +378,15 @@ def removed(df: DataFrame, smiles: str, groups: dict[str, str] | None = None, ro
     """df with clean (text without the groups) and removed (their names, in turn).
 
     In each round the first group, in the table's order, that matches loses its first match; a cut that leaves no molecule isn't made and ends the row's rounds. A molecule without
-    any group keeps its text; null and text that is no molecule give null. Other columns stay.
+    any group keeps its text; null and text that is no molecule give null. Other columns stay. Each distinct text goes through the rounds once.
     """
     table = REMOVED if groups is None else groups
+    out = once(df, smiles, lambda texts: _rounds(texts, smiles, table, rounds))
+    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<string>")))
+
+
+def _rounds(df: DataFrame, smiles: str, table: dict[str, str], rounds: int) -> DataFrame:
+    """The text column with clean and removed."""
     names = F.array(*[F.lit(n) for n in table])
     keep = df.columns
     out = df.select("*", F.col(smiles).alias("clean"), F.array().cast("array<string>").alias("removed"))

@@ -31,12 +31,15 @@ def _listed(texts: list[str], i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), (i + 1).cast("int"))
 
 
-def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, smiles of every part."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(HEADS)).alias("i"), (F.floor(F.col("p_partkey") / len(HEADS)) % len(TAILS)).alias("j"), (F.col("p_size") % 30 + 1).cast("int").alias("n"))
-    d = p.select("id", F.concat(_listed(HEADS, F.col("i")), F.expr("repeat('C', n)"), F.lit("c1ccc("), _listed(TAILS, F.col("j")), F.lit(")cc1")).alias("smiles"))
-    # Few bytes and much work a row: dealt over all cores, however small the file is.
-    return d.repartition(spark.sparkContext.defaultParallelism, "id")
+    return p.select("id", F.concat(_listed(HEADS, F.col("i")), F.expr("repeat('C', n)"), F.lit("c1ccc("), _listed(TAILS, F.col("j")), F.lit(")cc1")).alias("smiles"))
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt over all cores, however small the file is: few bytes and much work a row."""
+    return spelled(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
 
 
 _PIECES = f"""h(i, head) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(HEADS))}), t(j, tail) AS (VALUES {', '.join(f"({j}, '{t}')" for j, t in enumerate(TAILS))}),
@@ -49,17 +52,22 @@ def _among(column: str, texts: str | None) -> str:
 
 @query(f"WITH {_PIECES} SELECT id, " + ", ".join(f"{_among('head', h)} + {_among('tail', t)} AS {name.lower()}" for name, (h, t) in _HOLDS.items()) + ", 1 AS benzene FROM x")
 def fragment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = library(spark, sf_dir).select("id", substructure.graph("smiles").alias("g"))
-    return d.select("id", *[c.alias(n.lower()) for n, c in zip([*_HOLDS, "benzene"], substructure.fragment_counts("g", [*_HOLDS, "benzene"]), strict=True)])
+    names = [*_HOLDS, "benzene"]
+
+    def counted(texts: DataFrame) -> DataFrame:
+        return texts.select("smiles", substructure.graph("smiles").alias("g")).select("smiles", *[c.alias(n.lower()) for n, c in zip(names, substructure.fragment_counts("g", names), strict=True)])
+
+    return substructure.once(spelled(spark, sf_dir), "smiles", counted).drop("smiles")
 
 
 @query(f"WITH {_PIECES}, k AS (" + " UNION ALL ".join(f"SELECT {key} AS key, sum(CASE WHEN {_among('head', h)} + {_among('tail', t)} > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM x" for key, (h, t) in _SETS.items())
        + " UNION ALL SELECT unnest([162, 163, 165]), count(*) FROM x) SELECT key, n FROM k WHERE n > 0")
 def structural_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many structures set each of the keys that follow from a piece."""
-    d = library(spark, sf_dir).select(substructure.graph("smiles").alias("g"))
-    keys = d.select(F.explode(substructure.structural_keys("g")).alias("key"))
-    return keys.where(F.col("key").isin([*_SETS, 162, 163, 165])).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    d = spelled(spark, sf_dir)
+    keyed = substructure.once(d.groupBy("smiles").agg(F.count(F.lit(1)).alias("rows")), "smiles", lambda texts: texts.select("smiles", substructure.graph("smiles").alias("g")).select("smiles", substructure.structural_keys("g").alias("keys")))
+    keys = keyed.select(F.explode("keys").alias("key"), "rows")
+    return keys.where(F.col("key").isin([*_SETS, 162, 163, 165])).groupBy("key").agg(F.sum("rows").alias("n"))
 
 
 #: Protected amines: a group's text before the nitrogen, and its name.
@@ -70,8 +78,12 @@ _GROUPS = [("CC(C)(C)OC(=O)", "Boc"), ("c1ccccc1COC(=O)", "Cbz"), ("CC(=O)", "Ac
 def groups_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protected amines lose their group and nothing else."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(_listed([g for g, _ in _GROUPS], F.col("p_partkey") % len(_GROUPS)), F.lit("N"), F.expr("repeat('C', cast(p_size % 9 + 1 AS INT))"), F.lit("c1ccccc1")).alias("smiles"))
-    out = substructure.removed(p, "smiles", {name: substructure.REMOVED[name] for _, name in _GROUPS if name}, 2)
-    return out.select("id", F.size(substructure.graph("clean")["atoms"]).alias("heavy"), F.array_join("removed", ",").alias("removed"))
+    groups = {name: substructure.REMOVED[name] for _, name in _GROUPS if name}
+
+    def cleaned(texts: DataFrame) -> DataFrame:
+        return substructure.removed(texts, "smiles", groups, 2).select("smiles", F.size(substructure.graph("clean")["atoms"]).alias("heavy"), F.array_join("removed", ",").alias("removed"))
+
+    return substructure.once(p, "smiles", cleaned).drop("smiles")
 
 
 @query(f"""WITH {_PIECES}, m(piece, w) AS (VALUES ('O', 1), ('N', 1), ('Cl', 1), ('Br', 1), ('N#C', 2), ('OC(=O)', 3), ('NC(=O)', 3), ('CO', 2), ('COC(=O)', 4), ('CS', 2), ('CC(=O)', 3), ('O=C', 2),
@@ -116,5 +128,5 @@ _TAIL_LOGP = {"O": -0.0133, "N": -0.4147, "F": 0.4118, "Cl": 0.9345, "C": 0.5895
 c AS (SELECT id, n, u + v + 1.2604 + n * 0.246 AS s, head IN ('O', 'N', 'Cl', 'Br', 'CO', 'CS') AS beside FROM x JOIN a USING (head) JOIN b USING (tail))
 SELECT id, round(s + CASE WHEN n = 1 THEN -0.0516 ELSE CASE WHEN beside THEN -0.2035 ELSE 0.1441 END + (n - 2) * 0.1441 - 0.0516 END, 4) AS logp FROM c""")
 def partition_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = library(spark, sf_dir).select("id", substructure.graph("smiles").alias("g")).select("id", substructure.partition("g").alias("p"))
-    return rounded(d.select("id", F.col("p.logp").alias("logp")), 4)
+    parted = lambda texts: texts.select("smiles", substructure.graph("smiles").alias("g")).select("smiles", substructure.partition("g")["logp"].alias("logp"))
+    return rounded(substructure.once(spelled(spark, sf_dir), "smiles", parted).drop("smiles"), 4)

@@ -213,9 +213,9 @@ def featurize(s: MoleculeSet, kind: str = "morgan", size: int = 2048) -> Feature
 def describe(s: MoleculeSet, kind: str = "physicochemical") -> FeatureSet:
     """Descriptors as features; fragments: the counts of all fragments."""
     if kind == "fragments":
-        d = s.frame.where("valid").withColumn("set_g", substructure.graph(s.smiles))
         x = F.array(*[c.cast("double") for c in substructure.fragment_counts("set_g")])
-        return FeatureSet(d.withColumn("features", x).drop("set_g"), s.idx, s.y, (), "features", tuple(substructure.FRAGMENTS))
+        d = substructure.once(s.frame.where("valid"), s.smiles, lambda texts: texts.withColumn("set_g", substructure.graph(s.smiles)).select(s.smiles, x.alias("features")))
+        return FeatureSet(d, s.idx, s.y, (), "features", tuple(substructure.FRAGMENTS))
     if kind not in DESCRIPTIONS:
         raise ValueError(f"no descriptors {kind}")
     names = mol.TOPOLOGY if kind == "topological" else mol.DESCRIPTORS

@@ -114,3 +114,26 @@ def test_elements_and_forms():
         assert molecule.write(molecule.parse(molecule.write(molecule.parse(text)))) == molecule.write(molecule.parse(text))
     ethers = molecule.parse("COC" + "COC" * 1100)
     assert len(molecule.matches(molecule.parse("COC"), ethers)) > 1000
+
+
+def test_each_text_is_worked_on_once(spark):
+    seen = []
+
+    def work(texts):
+        seen.extend(r.smiles for r in texts.collect())
+        return texts.select("smiles", F.length("smiles").alias("n"))
+
+    d = spark.createDataFrame([(i, ["CO", "CCO", None][i % 3]) for i in range(300)], "id int, smiles string")
+    out = sub.once(d, "smiles", work)
+    assert out.columns == ["id", "smiles", "n"] and sorted(seen) == ["CCO", "CO"]
+    assert sorted(map(tuple, out.collect())) == [(i, s, s and len(s)) for i, s in sorted(map(tuple, d.collect()))]
+
+
+def test_groups_of_repeated_texts_are_removed_once(spark, monkeypatch):
+    counted, rounds = [], sub._rounds
+    monkeypatch.setattr(sub, "_rounds", lambda texts, *more: counted.append(texts.count()) or rounds(texts, *more))
+    d = spark.createDataFrame([(i, ["CC(=O)NC", None, "NC"][i % 3]) for i in range(90)], "id int, smiles string")
+    got = {r.id: (r.clean, r.removed) for r in sub.removed(d, "smiles").collect()}
+    assert counted == [2] and len(got) == 90
+    for i in range(90):
+        assert got[i] == [("CN", ["Acetyl"]), (None, []), ("NC", [])][i % 3] or i % 3 == 0 and got[i] == ("NC", ["Acetyl"])
