@@ -1,9 +1,9 @@
 """Distances of rows to all rows of a training table, in tiles, and the domains that rest on them.
 
-Both sides are packed into blocks of about ROWS vectors; every block of queries meets every block of training rows once, as a matrix product, and leaves
-only what is asked for: the k least distances of each query, a sum of kernels, or the farthest row.  The pairs of blocks are rows of a table that Spark spreads over its
-tasks; no task holds more than two blocks, and nothing but the number of blocks reaches the driver.  The work is queries x training rows: that is the
-operator's nature.  What the blocks leave of a query is merged in two steps, so that no row gathers more than the square root of their number.
+Both sides are packed into blocks of about ROWS vectors, and blocks are dealt into GROUPS groups a side (more, where a group would exceed BLOCKS blocks).  Every group of queries
+meets every group of training rows once, as matrix products, and leaves only what is asked for: the k least distances of each query, a sum of kernels, or the farthest row.
+So a table is shuffled once a group, and the rest grows with the rows.  A task holds one group of training rows and one block of queries at a time, and nothing but the number of blocks
+reaches the driver.  The work is queries x training rows: that is the operator's nature.  What the groups leave of a query, one row each, is merged at last.
 
 Defined cases: rows without a vector, or with components that are null or not finite, take no part. Rows are told apart by their own number, so ids of any
 type may repeat or be null: each row has its result. An empty training table gives every query an empty list of distances, and null distances, densities and decisions.
@@ -25,8 +25,8 @@ from .clustering import _cut
 from .ranking import quantiles
 
 ROWS = 2048
-#: Queries of a product at a time.
-CHUNK = 512
+#: Groups of blocks a side, blocks of a group at most, and cells of a product (64 queries at least).
+GROUPS, BLOCKS, CELLS = 8, 64, 1 << 21
 
 
 def _whole(vec: str) -> Column:
@@ -67,39 +67,57 @@ def _met(queries: DataFrame, train: DataFrame, idx: str, query_vec: str, train_v
     return pairs.repartition(tasks, "q", "m").select("q", "q_ids", "q_x", "t", "t_ids", "t_x"), nt
 
 
+def _grouped(n: int) -> int:
+    return max(1, min(n, GROUPS), -(-n // BLOCKS))
+
+
 def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work: Callable, kind: str, same: bool) -> tuple[DataFrame, int]:
-    """q, i (a query's block and place), id, g (a group of training blocks), v: what work(distances squared, queries, training rows, their ids) gives.
+    """q, i (a query's block and place), id, v: what work(distances squared, queries, training rows, their ids) gives, a row for each group of training rows; and the number of training blocks.
 
     With `same`, both sides are one table and a row isn't its own neighbour.
     """
-    pairs, nt = _met(queries, train, idx, vec, vec)
+    (q, nq), (t, nt) = _blocks(queries, idx, vec, "q"), _blocks(train, idx, vec, "t")
+    gq, gt = _grouped(nq), _grouped(nt)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # One key for each two groups; its training rows come first.
+    t = t.withColumn("m", every(gq)).select((F.col("m") * gt + F.col("t") % gt).alias("key"), F.lit(0).alias("side"), F.col("t").alias("block"), F.col("t_ids").alias("ids"), F.col("t_x").alias("x"))
+    q = q.withColumn("m", every(gt)).select((F.col("q") % gq * gt + F.col("m")).alias("key"), F.lit(1).alias("side"), F.col("q").alias("block"), F.col("q_ids").alias("ids"), F.col("q_x").alias("x"))
+    met = t.unionByName(q).repartition(min(gq * gt, 100_000), "key").sortWithinPartitions("key", "side", "block")
     id_kind = queries.schema[idx].dataType.simpleString()
-    groups = max(1, math.isqrt(nt))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, b = None, [], None
         for batch in batches:
             for r in range(batch.num_rows):
-                q, t = batch.column("q")[r].as_py(), batch.column("t")[r].as_py()
-                ids, t_ids = batch.column("q_ids")[r].values, batch.column("t_ids")[r].values
-                a = np.frombuffer(batch.column("q_x")[r].as_py(), "<f8").reshape(len(ids), -1)
-                b = np.frombuffer(batch.column("t_x")[r].as_py(), "<f8").reshape(len(t_ids), -1)
-                b2 = (b * b).sum(1)
-                for s in range(0, len(a), CHUNK):
-                    part = a[s : s + CHUNK]
+                key, block, ids = batch.column("key")[r].as_py(), batch.column("block")[r].as_py(), batch.column("ids")[r].values
+                x = np.frombuffer(batch.column("x")[r].as_py(), "<f8").reshape(len(ids), -1)
+                if key != group:
+                    group, kept, b = key, [], None
+                if not batch.column("side")[r].as_py():
+                    kept.append((block, ids, x))
+                    continue
+                if not kept:
+                    continue
+                if b is None:
+                    b, t_ids = np.vstack([k[2] for k in kept]), pa.concat_arrays([k[1] for k in kept])
+                    first = dict(zip([k[0] for k in kept], np.cumsum([0, *[len(k[1]) for k in kept]]).tolist(), strict=False))
+                    kept, b2 = [(name, None, None) for name, *_ in kept], (b * b).sum(1)
+                chunk = max(64, CELLS // len(b))
+                for s in range(0, len(x), chunk):
+                    part = x[s : s + chunk]
                     d = np.maximum((part * part).sum(1)[:, None] + b2 - 2 * part @ b.T, 0)
-                    if same and q == t:
-                        own = np.arange(len(part))
-                        d[own, own + s] = np.inf
                     n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q, np.int32)), pa.array(np.arange(s, s + n, dtype=np.int32)), ids.slice(s, n), pa.array(np.full(n, t % groups, np.int32)), work(d, part, b, t_ids)], ["q", "i", "id", "g", "v"])
+                    if same and block in first:
+                        own = np.arange(n)
+                        d[own, own + s + first[block]] = np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(s, s + n, dtype=np.int32)), ids.slice(s, n), work(d, part, b, t_ids)], ["q", "i", "id", "v"])
 
-    return pairs.mapInArrow(run, f"q int, i int, id {id_kind}, g int, v {kind}"), nt
+    return met.mapInArrow(run, f"q int, i int, id {id_kind}, v {kind}"), nt
 
 
 def _merged(found: DataFrame, merge: Callable[[Column], Column]) -> DataFrame:
-    """id, v: a query's values, merged group by group and then over the groups."""
-    each = found.groupBy("q", "i", "g").agg(F.first("id").alias("id"), merge(F.collect_list("v")).alias("v"))
-    return each.groupBy("q", "i").agg(F.first("id").alias("id"), merge(F.collect_list("v")).alias("v")).select("id", "v")
+    """id, v: a query's values, merged over the groups."""
+    return found.groupBy("q", "i").agg(F.first("id").alias("id"), merge(F.collect_list("v")).alias("v")).select("id", "v")
 
 
 def _exact(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -193,15 +211,23 @@ def density_domain(train: DataFrame, df: DataFrame, idx: str, vec: str, width: f
 
 
 def farthest(df: DataFrame, idx: str, vec: str) -> tuple[object, object] | None:
-    """The ids of the two rows farthest from each other, ties to the smallest ids; None for fewer than two rows. One candidate a row and block, the largest of all."""
+    """The ids of the two rows farthest from each other, ties to the smallest ids; None for fewer than two rows. Distances count to 12 digits; a row is a candidate where its block reaches the farthest so far."""
+
+    reached = [0.0]
 
     def most(d: np.ndarray, a: np.ndarray, b: np.ndarray, ids: pa.Array) -> pa.Array:
         d[~np.isfinite(d)] = -1
-        near = np.argpartition(-d, min(4, d.shape[1]) - 1, axis=1)[:, :4]
-        far = np.where(np.take_along_axis(d, near, 1) < 0, -1, _exact(a, b, near))
-        names = np.asarray(ids.to_pylist(), object)
-        best = [max(zip(f, names[c], strict=True), key=lambda t: (t[0], _Last(t[1]))) for f, c in zip(far, near, strict=True)]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], ids.type)], ["far", "other"])
+        top = d.max(1)
+        reached[0] = max(reached[0], float(top.max()))
+        # What the product form may lose: rows and others within it are compared exactly, rows below it can't be the farthest.
+        least = max(0.0, reached[0] - 1e-11 * float((a * a).sum(1).max() + (b * b).sum(1).max()))
+        far, other = np.full(len(d), -1.0), [None] * len(d)
+        for r in np.flatnonzero(top >= least).tolist():
+            near = np.flatnonzero(d[r] >= least)
+            exact = np.round(np.sqrt(((a[r] - b[near]) ** 2).sum(1)), 12)
+            far[r] = exact.max()
+            other[r] = min((x for x in ids.take(pa.array(near[exact == far[r]])).to_pylist()), key=lambda x: (x is not None, x))
+        return pa.StructArray.from_arrays([pa.array(far), pa.array(other, ids.type)], ["far", "other"])
 
     kind = df.schema[idx].dataType.simpleString()
     found, _ = _tiles(df, df, idx, vec, most, f"struct<far:double,other:{kind}>", True)
@@ -210,19 +236,6 @@ def farthest(df: DataFrame, idx: str, vec: str) -> tuple[object, object] | None:
     return (r.low, r.high) if r else None
 
 
-class _Last:
-    """Reverses an order, so that the largest tuple has the smallest id."""
-
-    def __init__(self, x: object):
-        self.x = x
-
-    def __lt__(self, other: _Last) -> bool:
-        return other.x < self.x
-
-    def __gt__(self, other: _Last) -> bool:
-        return self.x < other.x
-
-
 def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Number, sums and sums of products of the vectors' components: one partial Gram matrix a task, (p + 1)^2 numbers reach the driver."""
     rows = df.where(_whole(vec)).select(F.col(vec).cast("array<double>").alias("x"))
