@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clustering import _cut
 from .distances import _matrix, _vectors, _whole
 
 #: Added to the landmarks' kernel matrix before it is factored, relative to its diagonal.
@@ -96,51 +97,76 @@ def process(train: DataFrame, idx: str, vec: str, target: str, kernel: Callable[
     return Process(kernel, z, mean, weights, own, posterior, noise)
 
 
+#: Rows of a block of doubles that the rounds read.
+PACKED = 1 << 14
+
+
 def quantile_regression(train: DataFrame, vec: str, target: str, q: float, rounds: int = 60, tolerance: float = 1e-7) -> np.ndarray:
-    """Intercept and coefficients of the linear q-quantile of the target, by reweighted least squares.
+    """Intercept and coefficients of the linear q-quantile of the target."""
+    return quantile_regressions(train, vec, target, [q], rounds, tolerance)[0]
+
+
+def quantile_regressions(train: DataFrame, vec: str, target: str, qs: list[float], rounds: int = 60, tolerance: float = 1e-7) -> list[np.ndarray]:
+    """Intercept and coefficients of some linear quantiles of the target, by reweighted least squares.
 
     The pinball loss of a residual r is its square times w = (q or 1 - q, by the sign) / |r|; a round takes the weights from the last coefficients and solves for new ones from one pass of sums
-    (p + 1)^2 numbers a task.  Residuals count as `floor` at least, which falls with the rounds, so the rounds end near the minimum.
+    (p + 1)^2 numbers a task and quantile.  Residuals count as `floor` at least, which falls with the rounds, so the rounds end near the minimum.  The table is read once, and written as blocks of
+    doubles that the rounds read; a round is for all quantiles that haven't ended.
     """
     rows = train.where(_whole(vec) & F.col(target).isNotNull()).select(F.col(vec).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
 
-    def sums(beta: np.ndarray | None, floor: float) -> np.ndarray | None:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, PACKED):
+                part = b.slice(s, PACKED)
+                x = _matrix(pa.chunked_array([part.column("x")]))
+                z = np.hstack([np.ones((len(x), 1)), x, np.asarray(part.column("y"))[:, None]])
+                # A column after the other: products of whole columns.
+                yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), pa.array([np.ascontiguousarray(z.T).astype("<f8").tobytes()], pa.binary())], ["n", "z"])
+
+    packed = _cut(rows.mapInArrow(pack, "n int, z binary"))
+
+    def sums(at: dict[int, tuple[np.ndarray | None, float]]) -> dict[int, np.ndarray]:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = {}
             for b in batches:
-                if b.num_rows:
-                    x = _matrix(pa.chunked_array([b.column("x")]))
-                    z = np.hstack([np.ones((len(x), 1)), x, np.asarray(b.column("y"))[:, None]])
-                    r = z[:, -1] - z[:, :-1] @ beta if beta is not None else np.ones(len(z))
-                    w = np.where(r > 0, q, 1 - q) / np.maximum(np.abs(r), floor)
-                    part = z.T @ (z * w[:, None])
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "v"])
-
-        got = rows.mapInArrow(work, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
-        v = got.column("v").to_numpy()
-        return v.reshape(round(len(v) ** 0.5), -1) if len(v) else None
-
-    beta, floor = None, 1.0
-    for i in range(rounds):
-        total = sums(beta, floor)
-        if total is None:
+                for n, block in zip(b.column("n").to_pylist(), b.column("z"), strict=True):
+                    z = np.frombuffer(block.as_buffer(), "<f8").reshape(-1, n)
+                    for k, (beta, floor) in at.items():
+                        r = z[-1] - beta @ z[:-1] if beta is not None else np.ones(n)
+                        w = np.where(r > 0, qs[k], 1 - qs[k]) / np.maximum(np.abs(r), floor)
+                        part = (z * w) @ z.T
+                        total[k] = total[k] + part if k in total else part
+            for k, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, k, np.int32)), pa.array(np.arange(v.size)), pa.array(v.ravel())], ["k", "i", "v"])
+
+        got = packed.mapInArrow(work, "k int, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow().sort_by([("k", "ascending"), ("i", "ascending")])
+        key, v = got.column("k").to_numpy(), got.column("v").to_numpy()
+        return {k: (own := v[key == k]).reshape(round(len(own) ** 0.5), -1) for k in at if (key == k).any()}
+
+    at: dict[int, tuple[np.ndarray | None, float]] = {k: (None, 1.0) for k in range(len(qs))}
+    out: dict[int, np.ndarray] = {}
+    for _ in range(rounds):
+        if not at:
+            break
+        totals = sums(at)
+        if not totals:
             raise ValueError("no training rows")
-        new = np.linalg.lstsq(total[:-1, :-1], total[:-1, -1], rcond=None)[0]
-        if beta is None:
-            floor = 1e-2 * float(np.sqrt(max(total[-1, -1], 1e-300) / max(total[0, 0], 1e-300)))
-        elif np.abs(new - beta).max() <= tolerance * max(1.0, np.abs(new).max()):
-            return new
-        else:
-            floor = max(floor * 0.7, 1e-9)
-        beta = new
-    return beta
+        for k, total in totals.items():
+            beta, floor = at[k]
+            out[k] = new = np.linalg.lstsq(total[:-1, :-1], total[:-1, -1], rcond=None)[0]
+            if beta is None:
+                at[k] = new, 1e-2 * float(np.sqrt(max(total[-1, -1], 1e-300) / max(total[0, 0], 1e-300)))
+            elif np.abs(new - beta).max() <= tolerance * max(1.0, np.abs(new).max()):
+                del at[k]
+            else:
+                at[k] = new, max(floor * 0.7, 1e-9)
+    return [out[k] for k in range(len(qs))]
 
 
 def quantile_interval(train: DataFrame, df: DataFrame, idx: str, vec: str, target: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """idx, lower, upper, width: the quantiles of the target that two regressions predict, in order."""
-    ends = [quantile_regression(train, vec, target, q) for q in (low, high)]
+    ends = quantile_regressions(train, vec, target, [low, high])
     terms = lambda beta: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(b)) for b in beta[1:]]), lambda v, b: v * b), F.lit(float(beta[0])), lambda s, v: s + v)
     d = _vectors(df, idx, vec).select(F.col("id").alias(idx), terms(ends[0]).alias("a"), terms(ends[1]).alias("b"))
     return d.select(idx, F.least("a", "b").alias("lower"), F.greatest("a", "b").alias("upper"), F.abs(F.col("b") - F.col("a")).alias("width"))
