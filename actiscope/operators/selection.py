@@ -86,7 +86,8 @@ def shadowed(df: DataFrame, idx: str, vec: str, label: str, rounds: int = 100, a
     for _ in range(rounds):
         far = rng.randrange(1, n) if n > 1 else 0
         other = ring.select(F.col("x").alias("shadow"), ((F.col("r") - 1 + far) % n + 1).alias("o"))
-        both = ring.join(other, F.col("r") == F.col("o")).select(F.concat("x", "shadow").alias("x"), "y")
+        # Merged: as a broadcast, the ring would pass through the driver in every round.
+        both = ring.join(other.hint("merge"), F.col("r") == F.col("o")).select(F.concat("x", "shadow").alias("x"), "y")
         v = importances(models.fitted(both, "x", "y", kind, classes, **options))
         limit = max(v[p:])
         hits = [h + (x > limit) for h, x in zip(hits, v[:p], strict=True)]
