@@ -28,6 +28,7 @@ hash would share a count.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,12 @@ FIRST_SHARED = UNITS // 2
 END = 0
 SMOOTH = 0.1
 HIDDEN, EMBED = 16, 16
+#: Where the components of each unit's embedding are among all.
+EMB_AT = np.arange(UNITS * EMBED).reshape(UNITS, EMBED)
 WINDOW = 16
 LANES = 384
+#: Logits under this size have exponentials that neither overflow nor vanish, so their maximum needn't be taken off.
+FAR = 60.0
 #: Words of a text that training reads in a row.
 STRETCH = 1024
 #: One in so many stretches trains the weights, in every block: all of them.
@@ -80,9 +85,11 @@ def tokenized(col: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word, and the shared unit that it has unless it is frequent: by the last two bytes and the hash."""
-    listed = words.cast(pa.large_binary()).to_pylist()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in listed), np.uint64, len(listed))
-    last = np.fromiter((w[-1] * 256 + (w[-2] if len(w) > 1 else 0) for w in listed), np.int64, len(listed))
+    data, at = utf8(words)
+    raw, edges = data.tobytes(), at.tolist()
+    h = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in itertools.pairwise(edges)), np.uint64, len(words))
+    byte, ends = data.astype(np.int64), at[1:]
+    last = byte[ends - 1] * 256 + np.where(ends - at[:-1] > 1, byte[ends - 2], 0)
     group = (last * 40503 >> 5) % (CLASSES - FIRST_SHARED // WITHIN)
     return h.view(np.int64), FIRST_SHARED + group * WITHIN + (h % np.uint64(WITHIN)).astype(np.int64)
 
@@ -167,32 +174,37 @@ class Network:
             out[name], at = flat[at : at + n].reshape(shape), at + n
         return out
 
-    def steps(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States (steps, HIDDEN, lanes) after each of the inputs x (steps, lanes); the state is cleared where a text begins."""
-        w, n = self.w, HIDDEN
-        gates = w["emb"] @ w["wx"] + w["b"]
-        fed = np.ascontiguousarray(gates[x].transpose(0, 2, 1))
-        u = np.ascontiguousarray(w["u"].T)
-        out, kept, any_fresh = np.empty((len(x), n, x.shape[1]), np.float32), [], fresh.any(1)
-        for t in range(len(x)):
+    def steps(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+        """States (steps, HIDDEN, lanes) after each of the inputs x (steps, lanes); the state is cleared where a text begins.
+
+        keep: also what each step read (embeddings, a row of ones, the state before), its 1 + exp(-r), 1 + exp(-z) and c, and its product with u.
+        """
+        w, n, k = self.w, HIDDEN, EMBED + 1
+        # Signs of r and z are turned in the weights, not in each step.
+        sign = np.where(np.arange(3 * n) < 2 * n, np.float32(-1), np.float32(1))
+        u = np.ascontiguousarray((w["u"] * sign).T)
+        read = np.empty((len(x), k + n if keep else k, x.shape[1]), np.float32)
+        read[:, :EMBED], read[:, EMBED] = w["emb"].take(x, axis=0).transpose(0, 2, 1), 1
+        fed = np.matmul(np.ascontiguousarray((np.vstack([w["wx"], w["b"]]) * sign).T), read[:, :k])
+        out, any_fresh = np.empty((len(x), n, x.shape[1]), np.float32), fresh.any(1).tolist()
+        hu_all = np.empty((len(x) if keep else 1, 3 * n, x.shape[1]), np.float32)
+        hu, more = hu_all[0], np.empty(out.shape[1:], np.float32)
+        for t, (now, rz, c) in enumerate(zip(out, fed[:, : 2 * n], fed[:, 2 * n :], strict=True)):
             if any_fresh[t]:
                 h = h * ~fresh[t]
-            hu, rz = u @ h, fed[t, : 2 * n]
+            if keep:
+                hu, read[t, k:] = hu_all[t], h
+            np.matmul(u, h, out=hu)
             rz += hu[: 2 * n]
-            np.negative(rz, out=rz)
             np.exp(rz, out=rz)
             rz += 1
-            np.reciprocal(rz, out=rz)
-            r, z = rz[:n], rz[n:]
-            c = r * hu[2 * n :]
-            c += fed[t, 2 * n :]
+            np.divide(hu[2 * n :], rz[:n], out=more)
+            c += more
             np.tanh(c, out=c)
-            if keep:
-                kept.append((h, r, z, c, hu[2 * n :]))
-            h = np.subtract(h, c, out=out[t])
-            h *= z
+            h = np.subtract(h, c, out=now)
+            h /= rz[n:]
             h += c
-        return out, kept
+        return out, (read, fed, hu_all)
 
     def start_from(self, mass: np.ndarray) -> None:
         """Output biases that give the units' shares of the training words, whatever the state."""
@@ -201,30 +213,35 @@ class Network:
         self.w["bi"][...] = np.log(by_class / by_class.sum(1, keepdims=True))
 
     @staticmethod
-    def _softmax(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probabilities of y, one a column; exponentials of all logits, in place, and their sums."""
-        logits -= logits.max(0)
+    def _softmax(logits: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probabilities of y, one a column; exponentials of all logits, in place, and their sums. reach: a bound on the logits' sizes."""
+        if not reach < FAR:
+            logits -= logits.max(0)
         target = logits[y, np.arange(len(y))]
         e = np.exp(logits, out=logits)
         total = e.sum(0)
         return target - np.log(total), e, total
 
     def output(self, states: np.ndarray, y: np.ndarray) -> tuple:
-        """For units y, sorted by class, after the states (columns): the classes' ranges and both softmaxes."""
+        """For units y, sorted by class, after the states (columns): the classes' ranges, both softmaxes, the states with a row of ones."""
         w, cls = self.w, y // WITHIN
         edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         ranges = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist()]
+        s = np.empty((HIDDEN + 1, len(y)), np.float32)
+        s[:HIDDEN], s[HIDDEN] = states, 1
+        wide = max(1.0, float(states.max(initial=0)), -float(states.min(initial=0)))
+        # The biases are weights of the ones.
+        wo, wi = np.vstack([w["wo"], w["bo"]]), np.concatenate([w["wi"], w["bi"][:, None]], 1)
         inner = np.empty((WITHIN, len(y)), np.float32)
         for k, part in ranges:
-            np.add(w["wi"][k].T @ states[:, part], w["bi"][k][:, None], out=inner[:, part])
-        outer = w["wo"].T @ states
-        outer += w["bo"][:, None]
-        return ranges, self._softmax(outer, cls), self._softmax(inner, y % WITHIN)
+            np.matmul(wi[k].T, s[:, part], out=inner[:, part])
+        outer = wo.T @ s
+        return ranges, self._softmax(outer, cls, wide * np.abs(wo).sum(0).max()), self._softmax(inner, y % WITHIN, wide * np.abs(wi).sum(1).max()), s
 
     def log_probs(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log-probabilities of the units y after the states (columns)."""
         order = np.argsort((y // WITHIN).astype(np.uint8), kind="stable")
-        _, outer, inner = self.output(states[:, order], y[order])
+        _, outer, inner, _ = self.output(states.take(order, axis=1), y[order])
         out = np.empty(len(y))
         out[order] = outer[0] + inner[0]
         return out
@@ -232,59 +249,61 @@ class Network:
     def gradient(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient of the mean log loss of one window, back to its first step, and the last state."""
         w, n = self.w, HIDDEN
-        states, kept = self.steps(x, fresh, h, True)
+        states, (read, gates, hu_all) = self.steps(x, fresh, h, True)
         flat = np.zeros(self.SIZE, np.float32)
         g = self.views(flat)
         at = np.flatnonzero(live)
         at = at[np.argsort((y.reshape(-1)[at] // WITHIN).astype(np.uint8), kind="stable")]
         y, weight = y.reshape(-1)[at], np.float32(1 / max(1, len(at)))
-        s = states.transpose(1, 0, 2).reshape(n, -1)[:, at]
-        ranges, (_, p, p_sum), (_, q, q_sum) = self.output(s, y)
+        ranges, (_, p, p_sum), (_, q, q_sum), s = self.output(states.transpose(1, 0, 2).reshape(n, -1).take(at, axis=1), y)
         each = np.arange(len(y))
         p *= weight / p_sum
         q *= weight / q_sum
         p[y // WITHIN, each] -= weight
         q[y % WITHIN, each] -= weight
-        g["wo"][...] = s @ p.T
-        g["bo"][...] = p.sum(1)
-        back = w["wo"] @ p
+        both = s @ p.T
+        g["wo"][...], g["bo"][...] = both[:n], both[n]
+        back = p.T @ w["wo"].T
         for k, part in ranges:
-            g["wi"][k] = s[:, part] @ q[:, part].T
-            g["bi"][k] = q[:, part].sum(1)
-            back[:, part] += w["wi"][k] @ q[:, part]
-        dout = np.zeros((n, x.size), np.float32)
-        dout[:, at] = back
-        dout = np.ascontiguousarray(dout.reshape(n, len(x), -1).transpose(1, 0, 2))
-        dh = np.zeros_like(h)
-        da_all = np.empty((len(x), 3 * n, x.shape[1]), np.float32)
+            both = s[:, part] @ q[:, part].T
+            g["wi"][k], g["bi"][k] = both[:n], both[n]
+            back[part] += q[:, part].T @ w["wi"][k].T
+        dout = np.zeros((x.size, n), np.float32)
+        dout[at] = back
+        dout = np.ascontiguousarray(dout.reshape(len(x), -1, n).transpose(0, 2, 1))
+        dh, keep, more = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+        # Of one step: gradients of c, r, z before their functions, and of the product with u in c.
+        da = np.empty((4 * n, x.shape[1]), np.float32)
+        dc, dr, dz, dhc = da.reshape(4, n, -1)
+        by_read, by_input, any_fresh = np.zeros((4 * n, read.shape[1]), np.float32), np.empty((*x.shape, EMBED), np.float32), fresh.any(1).tolist()
+        wx = np.ascontiguousarray(np.roll(w["wx"], n, 1).T)
         for t in range(len(x) - 1, -1, -1):
-            before, r, z, c, hc = kept[t]
+            rz, c = gates[t, : 2 * n], gates[t, 2 * n :]
+            np.reciprocal(rz, out=rz)
+            r, z = rz[:n], rz[n:]
             dh += dout[t]
-            da = da_all[t]
-            dr, dz, dc = da[:n], da[n : 2 * n], da[2 * n :]
-            keep = dh * z
+            np.multiply(dh, z, out=keep)
             np.subtract(dh, keep, out=dc)
-            np.subtract(before, c, out=dz)
+            np.multiply(c, c, out=more)
+            np.subtract(1, more, out=more)
+            dc *= more
+            np.subtract(read[t, EMBED + 1 :], c, out=dz)
             dz *= keep
-            dz *= 1 - z
-            dc *= 1 - c * c
-            du = np.empty_like(da)
-            np.multiply(dc, r, out=du[2 * n :])
-            np.multiply(du[2 * n :], hc, out=dr)
-            dr *= 1 - r
-            du[: 2 * n] = da[: 2 * n]
-            g["u"] += before @ du.T
-            dh = w["u"] @ du
+            np.subtract(1, z, out=more)
+            dz *= more
+            np.multiply(dc, r, out=dhc)
+            np.multiply(dhc, hu_all[t, 2 * n :], out=dr)
+            np.subtract(1, r, out=more)
+            dr *= more
+            by_read += da @ read[t].T
+            np.matmul(da[: 3 * n].T, wx, out=by_input[t])
+            np.matmul(w["u"], da[n:], out=dh)
             dh += keep
-            if fresh[t].any():
+            if any_fresh[t]:
                 dh *= ~fresh[t]
-        by_unit = np.zeros((UNITS, 3 * n), np.float32)
-        order = np.argsort(x.reshape(-1), kind="stable")
-        seen, first = np.unique(x.reshape(-1)[order], return_index=True)
-        by_unit[seen] = np.add.reduceat(da_all.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, axis=0)
-        g["wx"][...] = w["emb"].T @ by_unit
-        g["emb"][...] = by_unit @ w["wx"].T
-        g["b"][...] = by_unit.sum(0)
+        by_gate = np.roll(by_read[: 3 * n], -n, 0)  # c, r, z to r, z, c
+        g["wx"][...], g["b"][...], g["u"][...] = by_gate[:, :EMBED].T, by_gate[:, EMBED], by_read[n:, EMBED + 1 :].T
+        g["emb"][...] = np.bincount(EMB_AT.take(x, axis=0).reshape(-1), by_input.reshape(-1), UNITS * EMBED).reshape(UNITS, EMBED)
         return flat, states[-1]
 
 
@@ -294,54 +313,76 @@ class Adam:
 
     def step(self, g: np.ndarray, share: float) -> None:
         """share: how much of the training is done, for the falling rate."""
-        size = float(np.sqrt((g * g).sum()))
+        size = float(np.sqrt(np.dot(g, g)))
         if size > 1:
             g = g / size
         self.t += 1
         self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
+        g = g * g
+        g -= self.v
+        g *= 0.01
+        self.v += g
         rate = self.rate * (1 - 0.9 * share) / (1 - 0.9**self.t)
-        self.net.flat -= (rate * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+        # rate * m / (sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        np.multiply(self.v, 1 / (1 - 0.99**self.t), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        g *= rate
+        self.net.flat -= g
 
 
-def lanes(units: np.ndarray, lens: np.ndarray, most: int = LANES, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end in lanes of about the same length, longest lane first.
+class Lanes:
+    """Texts laid end to end in lanes of about the same length, longest lane first; step after step, without the cells behind a lane's end.
 
-    Targets (steps, lanes) with -1 behind a lane's end and where a text that isn't whole stops, whether a text begins there, the text of each step,
-    lane lengths.
+    Of each cell: x, the unit before it (the end, where a text begins), y, its unit (-1 where a text that isn't whole stops), whether a text begins
+    there, and its text. width: lanes at each step.
     """
-    size = lens + 1  # with the end
-    n = int(max(1, min(most, len(size), size.sum() // 64)))
-    load = [(0, i) for i in range(n)]
-    lane, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    for d in np.argsort(-size, kind="stable"):
-        used, i = load[0]
-        lane[d], at[d] = i, used
-        heapq.heapreplace(load, (used + int(size[d]), i))
-    length = np.bincount(lane, weights=size, minlength=n).astype(np.int64)
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(-length, kind="stable")] = np.arange(n)
-    lane = rank[lane]
-    length = -np.sort(-length)
-    y = np.full((int(length[0]), n), -1, np.int16)
-    fresh = np.zeros(y.shape, bool)
-    doc = np.zeros(y.shape, np.int32)
-    step = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
-    where = step, np.repeat(lane, size)
-    flat = np.full(int(size.sum()), END, np.int16)
-    inner = np.ones(len(flat), bool)
-    inner[np.cumsum(size) - 1] = False
-    flat[inner] = units
-    if whole is not None:
-        flat[(np.cumsum(size) - 1)[~whole]] = -1
-    y[where], doc[where] = flat, np.repeat(np.arange(len(size), dtype=np.int32), size)
-    fresh[at, lane] = True
-    return y, fresh, doc, length
-
-
-def inputs(y: np.ndarray) -> np.ndarray:
-    """The unit before each step: the end, where a text begins."""
-    return np.maximum(np.vstack([np.full((1, y.shape[1]), END, y.dtype), y[:-1]]), 0)
+
+    def __init__(self, units: np.ndarray, lens: np.ndarray, most: int = LANES, whole: np.ndarray | None = None):
+        size = lens + 1  # with the end
+        total = int(size.sum())
+        n = int(max(1, min(most, len(size), total // 64)))
+        load = [(0, i) for i in range(n)]
+        lane, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        for d in np.argsort(-size, kind="stable").tolist():
+            used, i = load[0]
+            lane[d], at[d] = i, used
+            heapq.heapreplace(load, (used + int(size[d]), i))
+        length = np.bincount(lane, weights=size, minlength=n).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-length, kind="stable")] = np.arange(n)
+        length = -np.sort(-length)
+        self.width = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+        self.start = np.cumsum(self.width) - self.width
+        ends = np.cumsum(size)
+        first, inner = ends - size, np.ones(total, bool)
+        cell = self.start[np.arange(total) + np.repeat(at - first, size)] + np.repeat(rank[lane], size)
+        inner[ends - 1] = False
+        y, x = np.full(total, END, np.int16), np.full(total, END, np.int16)
+        y[inner] = units
+        if whole is not None:
+            y[(ends - 1)[~whole]] = -1
+        x[1:] = np.maximum(y[:-1], 0)
+        x[first] = END
+        self.x, self.y, self.fresh, self.doc = np.empty_like(x), np.empty_like(y), np.zeros(total, bool), np.empty(total, np.int32)
+        self.x[cell], self.y[cell], self.doc[cell] = x, y, np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.fresh[cell[first]] = True
+
+    def windows(self, steps) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of steps(lanes) steps, of all lanes that their first step has: the first step; x, y (-1 behind a lane's end), fresh and text of each cell."""
+        t = 0
+        while t < len(self.width):
+            n = int(self.width[t])
+            of = slice(t, t + steps(n))
+            lane = np.arange(n)
+            there, cell = lane < self.width[of, None], self.start[of, None] + lane
+            if there.all():
+                yield t, self.x[cell], self.y[cell], self.fresh[cell], self.doc[cell]
+            else:
+                cell[~there] = 0
+                yield t, np.where(there, self.x[cell], END), np.where(there, self.y[cell], -1), self.fresh[cell] & there, self.doc[cell]
+            t = of.stop
 
 
 def stretches(units: np.ndarray, lens: np.ndarray, most: int = STRETCH, every: int = TRAIN_EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,29 +403,24 @@ def train(net: Network, adam: Adam, units: np.ndarray, lens: np.ndarray, begin:
     if not len(lens):
         return 0
     units, lens, whole = stretches(units, lens)
-    y, fresh, _, length = lanes(units, lens, whole=whole)
-    x, h = inputs(y), np.zeros((HIDDEN, y.shape[1]), np.float32)
-    for t in range(0, len(y), WINDOW):
-        n = int(np.searchsorted(-length, -t, side="left"))
-        part = slice(t, t + WINDOW), slice(0, n)
-        g, h = net.gradient(x[part], np.maximum(y[part], 0), fresh[part], y[part] >= 0, h[:, :n])
-        adam.step(g, begin + (end - begin) * t / len(y))
+    laid, h = Lanes(units, lens, whole=whole), np.zeros((HIDDEN, LANES), np.float32)
+    for t, x, y, fresh, _ in laid.windows(lambda _: WINDOW):
+        g, h = net.gradient(x, np.maximum(y, 0), fresh, y >= 0, h[:, : x.shape[1]])
+        adam.step(g, begin + (end - begin) * t / len(laid.width))
     return int(lens.sum()) + len(lens)
 
 
 def likelihood(net: Network, units: np.ndarray, lens: np.ndarray, most: int = 16 * LANES) -> np.ndarray:
     """Natural log-probability of the units of each whole text, its end included; windows of about `most` tokens."""
-    y, fresh, doc, length = lanes(units, lens)
-    x, h, t = inputs(y), np.zeros((HIDDEN, y.shape[1]), np.float32), 0
-    total = np.zeros(len(lens))
-    while t < len(y):
-        n = int(np.searchsorted(-length, -t, side="left"))
-        part = slice(t, t + max(WINDOW, most // n)), slice(0, n)
-        states, _ = net.steps(x[part], fresh[part], h[:, :n], False)
-        h, t = states[-1], part[0].stop
-        live = np.flatnonzero(y[part] >= 0)
-        lp = net.log_probs(states.transpose(1, 0, 2).reshape(HIDDEN, -1)[:, live], y[part].reshape(-1)[live])
-        total += np.bincount(doc[part].reshape(-1)[live], weights=lp, minlength=len(lens))
+    h, total = np.zeros((HIDDEN, LANES), np.float32), np.zeros(len(lens))
+    for _, x, y, fresh, doc in Lanes(units, lens).windows(lambda n: max(WINDOW, most // n)):
+        states, _ = net.steps(x, fresh, h[:, : x.shape[1]], False)
+        h = states[-1]
+        flat, y, doc = states.transpose(1, 0, 2).reshape(HIDDEN, -1), y.reshape(-1), doc.reshape(-1)
+        live = np.flatnonzero(y >= 0)
+        if len(live) < len(y):
+            flat, y, doc = flat.take(live, axis=1), y[live], doc[live]
+        total += np.bincount(doc, weights=net.log_probs(flat, y), minlength=len(lens))
     return total
 
 
