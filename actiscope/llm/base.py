@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes, whatever the batch size of the session.
 SLICE_BYTES = 3 << 20
+#: The same for work that takes tens of bytes of memory a byte of text: a worker's peak is little above what it holds anyway.
+FINE_BYTES = 512 << 10
 #: Bytes of an Arrow batch between Spark and a worker.
 BATCH_BYTES = 6 << 20
 
@@ -100,6 +102,16 @@ def _give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work, whose worker gives back at its end what it has freed: it stays, idle, while other stages run. `slices` does so by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _give_back()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each holds about `most` bytes; one text is never cut."""
     _give_back()
@@ -185,7 +197,7 @@ def kept(docs: DataFrame, text_col: str, test, extra: dict[str, Column] | None =
     schema = docs.select(*names).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, FINE_BYTES):
             mark = test(b.column(text_col), *[b.column(n) for n in added])
             yield b.select(names).filter(pa.array(mark))
 

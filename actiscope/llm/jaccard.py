@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binary_array, bit_map, bounded, dropped, in_map, list_array, ragged, slices, table, written
+from .base import binary_array, bit_map, bounded, dropped, in_map, list_array, ragged, slices, table, trimmed, written
 from .gru import tokenized
 
 #: Shingles of a group that one task searches.
 GROUP = 2_000_000
+#: Bytes of text whose shingles a task makes at once.
+TEXT_BYTES = 1 << 20
 #: Bits of the maps that keep rows from a shuffle, as a power of two.
 MAP_BITS = 26
 #: The published cost ratio of DivideSkip between probing and merging.
@@ -292,7 +294,7 @@ def shared_routes(routed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hot)], ["v"])
             last = v[-1:]
 
-    return routed.mapInArrow(pack, "v long").repartition("v").sortWithinPartitions("v").mapInArrow(several, "v long")
+    return routed.mapInArrow(trimmed(pack), "v long").repartition("v").sortWithinPartitions("v").mapInArrow(trimmed(several), "v long")
 
 
 def one_each(made: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def one_each(made: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array(in_map(found, b.column("k").to_numpy()) == want))
 
-        return work
+        return trimmed(work)
 
     rows = made.where("k IS NOT NULL").select(*cols)
     repeated = rows.mapInArrow(part(True), rows.schema).groupBy("k").agg(*(F.first(c).alias(c) for c in cols[1:]))
@@ -346,7 +348,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", TEXT_BYTES):
             code, at = shingle_sets(b.column("text"), words)
             n = np.diff(at)
             cols = [b.column("id"), pa.array(n), pa.array(set_keys(code, at).view(np.int64), mask=n == 0)]
@@ -372,7 +374,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(k[own]), pa.array(np.full(len(v), s, np.int32)), pa.array(need[own])], ["v", "k", "s", "need"])
 
     # One row per set and shared route, whatever the number of its copies; a set stays that shares as many routes as a linked one must.
-    met = written(routed.mapInArrow(meeting, "v long, k long, s int, need int").distinct().join(shared, "v"), "met")
+    met = written(routed.mapInArrow(trimmed(meeting), "v long, k long, s int, need int").distinct().join(shared, "v"), "met")
     common = met.groupBy("v").agg(F.count(F.lit(1)).alias("nodes"))
     ranked = met.join(common, "v").groupBy("k", "s").agg(F.sort_array(F.collect_list(F.struct("nodes", "v"))).alias("r"), F.max("need").alias("need"))
     prefix = ranked.where("size(r) >= need").select("k", F.explode(F.expr("slice(r, 1, size(r) - need + 1)")).alias("r")).select("r.v", "k")
@@ -388,7 +390,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = in_map(id_map, b.column("v").to_numpy())
-            for part in slices(iter([b.filter(pa.array(hit))]), "text", 4 << 20):
+            for part in slices(iter([b.filter(pa.array(hit))]), "text", TEXT_BYTES):
                 code, at = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(code, at).view(np.int64)), binary_array(code.view(np.uint8), at * 8)], ["s", "codes"])
 

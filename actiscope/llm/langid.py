@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, bounded, fold, kept, slices, sums, table, utf8
+from .base import FINE_BYTES, bounded, fold, kept, slices, sums, table, utf8
 
 BUCKETS = 1 << 15
 PAD = 4
@@ -83,7 +83,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """key, lang, buckets, counts: the distinct buckets of each text with their counts, at most BUCKETS of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE_BYTES // 4):
+        for b in slices(batches, "text", FINE_BYTES):
             data, at = utf8(b.column("text"))
             parts = list(windows(data, at))
             ids, counts = [], []
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE_BYTES // 2):
+        for b in slices(batches, "text", FINE_BYTES):
             p = model.probabilities(model.logits(*utf8(b.column("text"))))
             lang = pa.array(model.langs).take(pa.array(p.argmax(1)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("letter"), lang.cast(pa.string()), pa.array(p.max(1))], ["id", "letter", "lang", "p"])

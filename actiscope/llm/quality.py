@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, fold, kept, list_array, slices, sums, table, utf8, written
+from .base import FINE_BYTES, bounded, fold, kept, list_array, slices, sums, table, utf8, written
 
 STATISTICS = ("log_bytes", "word_bytes", "upper", "digit", "comma_stop", "symbol", "bang", "bar", "non_ascii", "line_words", "repeat_byte", "runs_of_symbols", "entropy", "repeated_lines", "short_words")
 D = len(STATISTICS)
@@ -117,7 +117,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", FINE_BYTES):
             x = statistics(*utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("id"), list_array(x.reshape(-1), np.arange(len(x) + 1) * D, pa.float64())], ["id", "x"])
 
