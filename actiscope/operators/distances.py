@@ -71,12 +71,12 @@ def _grouped(n: int) -> int:
     return max(1, min(n, GROUPS), -(-n // BLOCKS))
 
 
-def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work: Callable, kind: str, same: bool) -> tuple[DataFrame, int]:
+def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work: Callable, kind: str, same: bool, query_vec: str | None = None) -> tuple[DataFrame, int]:
     """q, i (a query's block and place), id, v: what work(distances squared, queries, training rows, their ids) gives, a row for each group of training rows; and the number of training blocks.
 
-    With `same`, both sides are one table and a row isn't its own neighbour.
+    With `same`, both sides are one table and a row isn't its own neighbour. Vectors of queries (query_vec) may have more components than take part in distances.
     """
-    (q, nq), (t, nt) = _blocks(queries, idx, vec, "q"), _blocks(train, idx, vec, "t")
+    (q, nq), (t, nt) = _blocks(queries, idx, query_vec or vec, "q"), _blocks(train, idx, vec, "t")
     gq, gt = _grouped(nq), _grouped(nt)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # One key for each two groups; its training rows come first.
@@ -105,7 +105,8 @@ def _tiles(queries: DataFrame, train: DataFrame, idx: str, vec: str, work: Calla
                 chunk = max(64, CELLS // len(b))
                 for s in range(0, len(x), chunk):
                     part = x[s : s + chunk]
-                    d = np.maximum((part * part).sum(1)[:, None] + b2 - 2 * part @ b.T, 0)
+                    a = part if query_vec is None else part[:, : b.shape[1]]
+                    d = np.maximum((a * a).sum(1)[:, None] + b2 - 2 * a @ b.T, 0)
                     n = len(part)
                     if same and block in first:
                         own = np.arange(n)

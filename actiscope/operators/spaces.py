@@ -1,68 +1,77 @@
 """How well a projection keeps neighbourhoods, in the tiles of `distances`.
 
 No matrix of all pairs is held or written: neighbours in the projection are the merged least distances of the tiles, and how many rows are closer in
-the original space than each of them is a sum over tiles, too.  The work is rows x rows, as the definition is.
+the original space than each of them is a sum over tiles, too.  Tiles are matrix products; where their rounding could decide, distances are taken again from differences.
+The work is rows x rows, as the definition is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distances import _met, _whole
+from .clustering import _cut
+from .distances import _merged, _tiles, _whole
 
-#: Doubles of a stretch of differences in a tile.
-CELLS = 1 << 22
 #: Distances that differ by less than this share are ties.
 TIE = 1e-12
+#: What rounding can add to a squared distance from a product, as a share of the vectors' squared lengths: many times what it does.
+SLIP = 1e-12
+
+
+def _slip(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far the squared distances of each row of a to rows of b may be off."""
+    return SLIP * ((a * a).sum(1) + (b * b).sum(1).max())
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of a to all of b, from differences, a stretch of rows at a time."""
-    step = max(1, CELLS // max(1, b.size))
-    return np.vstack([((a[s : s + step, None] - b) ** 2).sum(2) for s in range(0, len(a), step)])
+    """Squared distances of rows of a to the rows of b beside them, from differences."""
+    return ((a - b) ** 2).sum(1)
 
 
 def neighbours(df: DataFrame, idx: str, vec: str, k: int) -> DataFrame:
     """id, near: the ids of the k nearest other rows, ties by id. idx must be a unique long."""
-    pairs, _ = _met(df, df, idx, vec, vec)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                ids, others = np.asarray(r.q_ids), np.asarray(r.t_ids)
-                d = _squares(np.frombuffer(r.q_x, "<f8").reshape(len(ids), -1), np.frombuffer(r.t_x, "<f8").reshape(len(others), -1))
-                d[ids[:, None] == others] = np.inf
-                first = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-                near = [[{"d": float(x), "id": int(o)} for x, o in zip(row[f], others[f], strict=True) if np.isfinite(x)] for row, f in zip(d, first, strict=True)]
-                yield pd.DataFrame({"id": ids, "near": near})
+    def work(d: np.ndarray, a: np.ndarray, b: np.ndarray, ids: pa.Array) -> pa.Array:
+        others = ids.to_numpy()
+        # A row's own distance is infinite.
+        least = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        i, j = np.nonzero((d <= (least + 2 * _slip(a, b))[:, None]) & np.isfinite(d))
+        far = _squares(a[i], b[j])
+        order = np.lexsort((others[j], far, i))
+        i, j, far = i[order], j[order], far[order]
+        start = np.searchsorted(i, np.arange(len(a)))
+        first = np.arange(len(i)) - start[i] < k
+        ends = np.concatenate([[0], np.cumsum(np.bincount(i[first], minlength=len(a)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(far[first]), pa.array(others[j[first]])], ["d", "id"]))
 
-    found = pairs.mapInPandas(work, "id long, near array<struct<d: double, id: long>>")
-    # k entries a row and block: the lists are merged block by block
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)
-    return found.groupBy("id").agg(F.transform(merged, lambda s: s["id"]).alias("near"))
+    found, _ = _tiles(df, df, idx, vec, work, "array<struct<d:double,id:long>>", True)
+    # k entries a row and group of blocks
+    return _merged(found, lambda lists: F.slice(F.sort_array(F.flatten(lists)), 1, k)).select("id", F.transform("v", lambda s: s["id"]).alias("near"))
 
 
 def _intrusions(df: DataFrame, k: int, p: int) -> DataFrame:
     """id, and for each of the k marks behind a vector x of p components how many other rows are closer than it."""
-    pairs, _ = _met(df, df, "id", "marked", "x")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                ids, others = np.asarray(r.q_ids), np.asarray(r.t_ids)
-                a = np.frombuffer(r.q_x, "<f8").reshape(len(ids), -1)
-                d = _squares(a[:, :p], np.frombuffer(r.t_x, "<f8").reshape(len(others), -1))
-                d[ids[:, None] == others] = np.inf
-                marks = a[:, p:] * (1 - TIE)
-                yield pd.DataFrame({"id": ids, "closer": list(np.stack([(d < marks[:, [j]]).sum(1) for j in range(k)], axis=1))})
 
-    found = pairs.mapInPandas(work, "id long, closer array<long>")
-    return found.groupBy("id").agg(*[F.sum(F.col("closer")[j]).alias(f"c{j}") for j in range(k)])
+    def work(d: np.ndarray, part: np.ndarray, b: np.ndarray, _: pa.Array) -> pa.Array:
+        a, marks = part[:, :p], part[:, p:] * (1 - TIE)
+        slip = _slip(a, b)
+        closer = np.empty(marks.shape, np.int64)
+        for j in range(k):
+            sure, open_ = d < (marks[:, j] - slip)[:, None], d < (marks[:, j] + slip)[:, None]
+            closer[:, j] = np.count_nonzero(sure, axis=1)
+            for r in np.nonzero(closer[:, j] != np.count_nonzero(open_, axis=1))[0]:
+                near = np.nonzero(open_[r] & ~sure[r])[0]
+                closer[r, j] += np.count_nonzero(_squares(a[r], b[near]) < marks[r, j])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, k, dtype=np.int32)), pa.array(closer.ravel()))
+
+    found, _ = _tiles(df, df, "id", "x", work, "array<long>", False, "marked")
+    # Every row has met itself once, which is closer than any mark above 0.
+    own = lambda j: (F.element_at("marked", F.lit(p + j + 1)) * (1 - TIE) > 0).cast("long")
+    sums = found.groupBy("id").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(k)])
+    return sums.join(df.select("id", *[own(j).alias(f"o{j}") for j in range(k)]), "id").select("id", *[(F.col(f"s{j}") - F.col(f"o{j}")).alias(f"c{j}") for j in range(k)])
 
 
 def trustworthiness(df: DataFrame, idx: str, vec: str, embedding: str, k: int = 5) -> DataFrame:
@@ -81,7 +90,7 @@ def trustworthiness(df: DataFrame, idx: str, vec: str, embedding: str, k: int =
     near = neighbours(d, "id", "e", k).select("id", F.explode("near").alias("other"))
     far = F.aggregate(F.zip_with("x", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     marks = near.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("x").alias("o")), "other").groupBy("id").agg(F.collect_list(far).alias("marks"))  # k a row
-    marked = own.join(marks, "id").select("id", "x", F.concat("x", "marks").alias("marked"))
+    marked = _cut(own.join(marks, "id").select("id", "x", F.concat("x", "marks").alias("marked")))  # it is read as queries, as rows and for what a row adds itself
     over = sum((F.greatest(F.col(f"c{j}") + 1 - k, F.lit(0)) for j in range(k)), F.lit(0))
     total = _intrusions(marked, k, p).agg(F.sum(over).alias("total"))
     return total.select(F.lit(n).cast("long").alias("n"), (1 - F.col("total") * (2.0 / (n * k * (2 * n - 3 * k - 1)))).alias("trustworthiness"))
